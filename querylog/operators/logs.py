@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querylog.functions.predicates import before, in_range, log_predicates, since, where_all
-from querylog.operators.paging import TOP_K_ROWS, Page, locate, page_within
+from querylog.operators.paging import Located, Page, is_top_k, locate, page_within
+from querylog.operators.timeseries import slot_of
 from querylog.schema import EPOCH, LOG_COLUMNS, epoch_micros
 from querylog.validation import (
     LOG_PAGE_DEFAULT,
@@ -71,31 +72,33 @@ def query_logs(
     kept = filtered_logs(log, **filters)
     rest, skip, total = kept, offset, None
     for width in _SLOT_WIDTHS:
-        slot = F.coalesce(F.floor(epoch_micros(kept) / F.lit(width)).cast("long"), F.lit(_UNDATED))
-        if width == 1:
-            slot = F.coalesce(epoch_micros(kept), F.lit(_UNDATED))
+        slot = F.coalesce(slot_of(epoch_micros(kept), 0, width), F.lit(_UNDATED))
         found = locate(rest, slot, limit, skip)
         total = found.total if total is None else total
         if found.first is None:
             rest, skip = kept.where(F.lit(False)), 0
             break
         rest, skip = _between(rest, found, width), skip - found.before
-        if skip + limit <= TOP_K_ROWS or found.first == _UNDATED:
+        if is_top_k(limit, skip) or found.first == _UNDATED:
             break
     items = page_within(rest.select(*LOG_COLUMNS), log_order(), limit, skip)
     totals = log.sparkSession.range(1).select(F.lit(total).cast("long").alias("total_count"))
     return Page(items, totals)
 
 
-def _between(rest: DataFrame, found, width: int) -> DataFrame:
+def _between(rest: DataFrame, found: Located, width: int) -> DataFrame:
     """Rows of the located slots, bounded on the bare timestamp column."""
-    def moment(slot: int) -> datetime:
-        return EPOCH + timedelta(microseconds=slot * width)
-
     undated = F.col("request_ts").isNull()
     if found.first == _UNDATED:
         return rest.where(undated)
-    upper = before(rest, moment(found.first + 1))
+    try:
+        rest = rest.where(undated | before(rest, _moment(found.first + 1, width)))
+    except OverflowError:
+        pass  # the slot ends with the calendar: nothing is newer
     if found.last == _UNDATED:
-        return rest.where(undated | upper)
-    return rest.where(since(rest, moment(found.last)) & upper)
+        return rest
+    return rest.where(since(rest, _moment(found.last, width)))
+
+
+def _moment(slot: int, width: int) -> datetime:
+    return EPOCH + timedelta(microseconds=slot * width)

@@ -48,6 +48,10 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def is_top_k(limit: int, offset: int) -> bool:
+    return offset + limit <= TOP_K_ROWS
+
+
 def top_page(frame: DataFrame, order: list[Column], limit: int, offset: int) -> DataFrame:
     return frame.orderBy(*order).offset(offset).limit(limit)
 
@@ -98,6 +102,6 @@ def numbered_page(frame: DataFrame, order: list[Column], limit: int, offset: int
 
 def page_within(frame: DataFrame, order: list[Column], limit: int, offset: int) -> DataFrame:
     """The page of a frame already narrowed to the slots it touches."""
-    if offset + limit <= TOP_K_ROWS:
+    if is_top_k(limit, offset):
         return top_page(frame, order, limit, offset)
     return numbered_page(frame, order, limit, offset)

@@ -16,9 +16,9 @@ from querylog.functions.predicates import (
     where_all,
 )
 from querylog.operators.paging import (
-    TOP_K_ROWS,
     Page,
     checkpointed,
+    is_top_k,
     locate,
     page_within,
     top_page,
@@ -84,7 +84,7 @@ def _with_share(page: DataFrame, grouped: DataFrame) -> DataFrame:
 
 def _rank_page(grouped: DataFrame, limit: int, offset: int) -> DataFrame:
     order = rank_order()
-    if offset + limit <= TOP_K_ROWS:
+    if is_top_k(limit, offset):
         return top_page(grouped, order, limit, offset)
     # Few distinct counts exist (their sum is the log), so they make good slots.
     found = locate(grouped, F.col("count"), limit, offset)
@@ -113,7 +113,7 @@ def top_list(
     check_page(limit, offset)
     kept = where_all(log, [in_range(log, range, as_of), *blocked_only(filter)])
     grouped = grouped_counts(kept, _KINDS[kind][0])
-    if offset + limit > TOP_K_ROWS:
+    if not is_top_k(limit, offset):
         grouped = checkpointed(grouped)  # read several times to find the page
     page = _with_share(_rank_page(grouped, limit, offset), grouped)
     items = page.select("name", "count", "blocked", "percentage").orderBy(*rank_order())

@@ -19,10 +19,10 @@ _MICROSECOND = timedelta(microseconds=1)
 def slot_of(moment: Column, origin: int, width: int) -> Column:
     """Index of the bucket holding ``moment`` (both in microseconds).
 
-    Integer arithmetic: exact at any timestamp, where a double division is not.
+    Integer arithmetic, exact at any timestamp; rounds down before the origin too.
     """
     shifted = moment - F.lit(origin)
-    return ((shifted - F.pmod(shifted, F.lit(width))) / F.lit(width)).cast("long")
+    return F.call_function("div", shifted - F.pmod(shifted, F.lit(width)), F.lit(width))
 
 
 def queries_over_time(
