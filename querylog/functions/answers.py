@@ -11,16 +11,14 @@ RECORD = r"^[A-Z0-9]+\s+\((.*)\)\z"
 BLOCK_REASON = r"(?i)^BLOCKED(?: [^(]+)? \((.*)\)\z"
 GROUP_SEPARATOR = ": "
 # Whitespace as ECMAScript's trim() knows it.
-SPACE = r"[\s\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
+SPACES = (
+    "\t\n\v\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
 
 
 def trim_space(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{SPACE}|{SPACE}$", "")
-
-
-def _captured(text: Column, pattern: str) -> Column:
-    """First capture group, or null where the pattern does not match."""
-    return F.when(F.rlike(text, F.lit(pattern)), F.regexp_extract(text, pattern, 1))
+    return F.trim(text, F.lit(SPACES))
 
 
 def parse_answers(answer: Column) -> Column:
@@ -31,14 +29,14 @@ def parse_answers(answer: Column) -> Column:
     """
     records = F.transform(
         F.split(answer, RECORD_SEPARATOR),
-        lambda record: F.coalesce(_captured(record, RECORD), record),
+        lambda record: F.regexp_replace(record, RECORD, "$1"),
     )
     return F.when(answer == "", F.array().cast("array<string>")).otherwise(records)
 
 
 def blocking_group(reason: Column) -> Column:
     """The list that blocked a name: ``BLOCKED (ads: *.example)`` to ``ads``."""
-    details = _captured(trim_space(reason), BLOCK_REASON)
+    details = F.regexp_extract(trim_space(reason), BLOCK_REASON, 1)
     return F.when(
         F.instr(details, GROUP_SEPARATOR) > 1,
         F.substring_index(details, GROUP_SEPARATOR, 1),

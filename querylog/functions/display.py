@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from querylog.functions.answers import _captured, trim_space
+from querylog.functions.answers import trim_space
 
 # Response types answered without asking an upstream resolver.
 LOCAL_RESPONSE_TYPES = (
@@ -30,7 +30,8 @@ def reason_text(reason: Column) -> Column:
 def reason_note(reason: Column, response_type: Column) -> Column:
     """Content of the first parenthesis, prefixed by what it means for the
     response type; null where there is none."""
-    inner = _captured(reason, _PARENTHESIS)
+    found = F.regexp_extract(reason, _PARENTHESIS, 1)
+    inner = F.when(F.rlike(reason, F.lit(_PARENTHESIS)), found)
     return (
         F.when(response_type == "RESOLVED", F.concat(F.lit("Resolved by: "), inner))
         .when(response_type == "BLOCKED", F.concat(F.lit("Group: "), inner))

@@ -93,6 +93,11 @@ def micros(moment: datetime) -> int:
     return (as_utc(moment) - EPOCH) // timedelta(microseconds=1)
 
 
+def utc_text(moment: datetime) -> str:
+    """``moment`` as ``YYYY-MM-DD hh:mm:ss.ffffff`` in UTC."""
+    return as_utc(moment).replace(tzinfo=None).isoformat(" ", "microseconds")
+
+
 def is_wall_clock(log: DataFrame) -> bool:
     """Whether ``request_ts`` carries UTC wall-clock values instead of instants."""
     wall = isinstance(log.schema["request_ts"].dataType, T.TimestampNTZType)
@@ -109,7 +114,7 @@ def moment_literal(log: DataFrame, moment: datetime) -> Column:
     The column itself stays bare in comparisons, so the bound reaches the scan
     as a pushed filter.
     """
-    text = as_utc(moment).strftime("%Y-%m-%d %H:%M:%S.%f")
+    text = utc_text(moment)
     if is_wall_clock(log):
         return F.lit(text).cast("timestamp_ntz")
     return F.lit(text + "+00:00").cast("timestamp")

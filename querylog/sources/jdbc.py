@@ -9,7 +9,7 @@ from urllib.parse import parse_qsl, unquote, urlencode, urlsplit
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querylog.schema import as_utc, to_log_schema
+from querylog.schema import as_utc, to_log_schema, utc_text
 from querylog.sources.tsv import parse_timestamp
 
 # Table name, drivers and session settings per database.
@@ -27,8 +27,6 @@ _UTC_SESSION = {
 _SCHEMES = {"mysql": ("mysql",), "postgresql": ("postgresql", "postgres"), "sqlite": ()}
 _ALIASES = {"timescale": "postgresql"}
 
-_BOUND_FORMAT = "%Y-%m-%d %H:%M:%S.%f"
-
 
 def jdbc_options(kind: str, target: str) -> dict[str, str]:
     """Reader options for a connection URI (or a file path for SQLite)."""
@@ -65,7 +63,7 @@ def time_slices(
         start, end = max(start, as_utc(since)), max(end, as_utc(since))
 
     def text(moment: datetime) -> str:
-        return f"'{moment.strftime(_BOUND_FORMAT)}'"
+        return f"'{utc_text(moment)}'"
 
     edges = [start + (end - start) * i / slices for i in range(slices + 1)]
     found = [
@@ -104,8 +102,7 @@ def read_jdbc(
     if start is None or end is None:
         rows = spark.read.format("jdbc").options(**settings).load()
         if since is not None:
-            bound = as_utc(since).strftime(_BOUND_FORMAT)
-            rows = rows.where(F.col("request_ts") >= F.lit(bound))
+            rows = rows.where(F.col("request_ts") >= F.lit(utc_text(since)))
     else:
         url = settings.pop("url")
         predicates = time_slices(start, end, slices, since)

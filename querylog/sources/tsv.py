@@ -25,8 +25,6 @@ TSV_FIELDS = (
 LOG_FILES = "*.log"
 CLIENT_LOG_FILES = "[0-9][0-9][0-9][0-9]-[0-9][0-9]-[0-9][0-9]_?*.log"
 _FILE_DATE = r"([0-9]{4}-[0-9]{2}-[0-9]{2})_[^/]+\.log$"
-_HAS_ZONE = r"(?i)(?:[zZ]|[+-]\d{1,2}(?::?\d{2})?|UTC|GMT)\s*$"
-_HAS_TIME = r"\d:\d"
 
 
 def split_lines(lines: DataFrame, line: str = "value", strict_trim: bool = False) -> DataFrame:
@@ -37,7 +35,7 @@ def split_lines(lines: DataFrame, line: str = "value", strict_trim: bool = False
     ending in an empty field then comes out one field short.
     """
     text = F.col(line)
-    body = trim_space(text) if strict_trim else F.regexp_replace(text, r"[\r\n]+$", "")
+    body = trim_space(text) if strict_trim else F.rtrim(text, F.lit("\r\n"))
     return lines.where(trim_space(text) != "").withColumn("fields", F.split(body, "\t", -1))
 
 
@@ -46,10 +44,15 @@ def parse_timestamp(text: Column, time_zone: str = "UTC") -> Column:
 
     Unreadable text gives null.
     """
-    zoned = F.rlike(text, F.lit(_HAS_ZONE)) & F.rlike(text, F.lit(_HAS_TIME))
-    full = F.when(F.rlike(text, F.lit(_HAS_TIME)), text).otherwise(F.concat(text, F.lit(" 00:00")))
-    local = F.concat(full, F.lit(" " + time_zone))
-    return F.when(zoned, text).otherwise(local).try_cast("timestamp")
+    # A zone after a zone is unreadable, so the first form that reads is right.
+    zone = f" {time_zone}"
+    timed = (F.concat(text, F.lit(zone)), F.concat(text, F.lit(":00" + zone)), text)
+    date = F.concat(text, F.lit(" 00:00:00" + zone))
+    read = F.when(F.length(F.trim(text)) <= 10, date.try_cast("timestamp")).otherwise(
+        F.coalesce(*(form.try_cast("timestamp") for form in timed))
+    )
+    # A bare time of day would be read as today's.
+    return F.when(F.substring(F.ltrim(text), 5, 1) == "-", read)
 
 
 def parse_integer_prefix(text: Column) -> Column:

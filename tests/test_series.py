@@ -1,0 +1,124 @@
+"""Time buckets: alignment, borders, rows after the end, and properties."""
+
+from __future__ import annotations
+
+from datetime import datetime, timedelta, timezone
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from querylog.operators.timeseries import queries_over_time, with_bucket_labels
+from querylog.schema import TIME_RANGES
+
+AS_OF = datetime(2024, 3, 5, 14, 37, 12, 345678, tzinfo=timezone.utc)
+
+
+def _log(spark, stamps, kind="timestamp"):
+    rows = [(s, "BLOCKED") for s in stamps]
+    frame = spark.createDataFrame(rows, "request_ts timestamp, response_type string")
+    return frame.withColumn("request_ts", F.col("request_ts").cast(kind))
+
+
+def _counts(series):
+    return {r["bucket_start"]: r["total"] for r in series.collect() if r["total"]}
+
+
+def _naive(moment):
+    return moment.astimezone(timezone.utc).replace(tzinfo=None)
+
+
+@pytest.mark.parametrize("range", TIME_RANGES)
+def test_empty_log_has_every_bucket(spark, range):
+    span = TIME_RANGES[range]
+    for mode, extra in (("aligned", 1), ("anchored", 0)):
+        rows = queries_over_time(_log(spark, [None]), range, mode=mode, as_of=AS_OF).collect()
+        starts = [r["bucket_start"] for r in rows]
+        assert len(rows) == span.buckets + extra
+        assert {b - a for a, b in zip(starts, starts[1:])} == {span.interval}
+        assert all((r["total"], r["blocked"], r["cached"]) == (0, 0, 0) for r in rows)
+        first = _naive(AS_OF - span.span)
+        if mode == "anchored":
+            assert starts[0] == first
+        else:
+            assert starts[0] <= first < starts[0] + span.interval
+            assert starts[-1] <= _naive(AS_OF) < starts[-1] + span.interval
+
+
+def test_borders(spark):
+    tick = timedelta(microseconds=1)
+    start = AS_OF - timedelta(hours=24)
+    hour = timedelta(hours=1)
+    log = _log(spark, [start - tick, start, start + hour - tick, start + hour, AS_OF - tick, AS_OF])
+    anchored = _counts(queries_over_time(log, "24h", mode="anchored", as_of=AS_OF))
+    assert anchored == {
+        _naive(start): 2,
+        _naive(start + hour): 1,
+        _naive(AS_OF - hour): 1,
+    }
+    assert sum(_counts(queries_over_time(log, "24h", as_of=AS_OF)).values()) == 5
+
+
+def test_rows_after_the_end(spark):
+    later = [AS_OF + timedelta(minutes=m) for m in (1, 22, 23)]
+    log = _log(spark, later)
+    # 14:37 plus 22 minutes is still in the current hour, 23 minutes is not.
+    assert _counts(queries_over_time(log, "24h", as_of=AS_OF)) == {datetime(2024, 3, 5, 14): 2}
+    assert _counts(queries_over_time(log, "24h", mode="anchored", as_of=AS_OF)) == {}
+
+
+def test_buckets_are_utc_in_any_session(spark):
+    stamp = datetime(2024, 3, 5, 3, 30, tzinfo=timezone.utc)
+    log = _log(spark, [stamp])
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+    try:
+        series = queries_over_time(log, "7d", as_of=AS_OF)
+        labels = with_bucket_labels(series, "7d").where("total > 0").collect()
+        assert [r["label"] for r in labels] == ["2024-03-05 00:00"]
+        with pytest.raises(ValueError, match="timeZone"):
+            queries_over_time(_log(spark, [stamp], "timestamp_ntz"), "7d", as_of=AS_OF)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+@pytest.mark.parametrize(
+    "range, label",
+    [
+        ("1h", "2024-03-05 13:35"),
+        ("24h", "2024-03-04 14:00"),
+        ("7d", "2024-02-27 12:00"),
+        ("30d", "2024-02-04"),
+    ],
+)
+def test_labels(spark, range, label):
+    series = queries_over_time(_log(spark, []), range, as_of=AS_OF)
+    assert with_bucket_labels(series, range).first()["label"] == label
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(
+    ages=st.lists(st.integers(-3600 * 10**6, 31 * 86400 * 10**6), max_size=30),
+    range=st.sampled_from(list(TIME_RANGES)),
+    kind=st.sampled_from(["timestamp", "timestamp_ntz"]),
+)
+def test_matches_loop(spark, ages, range, kind):
+    stamps = [AS_OF - timedelta(microseconds=a) for a in ages]
+    span = TIME_RANGES[range]
+    start = AS_OF - span.span
+    log = _log(spark, stamps, kind)
+    expected: dict = {}
+    for s in stamps:
+        slot = (s - start) // span.interval
+        if 0 <= slot < span.buckets:
+            key = _naive(start + slot * span.interval)
+            expected[key] = expected.get(key, 0) + 1
+    assert _counts(queries_over_time(log, range, mode="anchored", as_of=AS_OF)) == expected
+
+    epoch = datetime(1970, 1, 1, tzinfo=timezone.utc)
+    floors = {}
+    for s in stamps:
+        low = epoch + (s - epoch) // span.interval * span.interval
+        if s >= start and low <= AS_OF:
+            floors[_naive(low)] = floors.get(_naive(low), 0) + 1
+    assert _counts(queries_over_time(log, range, as_of=AS_OF)) == floors
