@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Up to this many rows, offset included, a page is a plain top-k: every task
@@ -34,18 +35,30 @@ class Located:
     before: int
 
 
-def checkpointed(frame: DataFrame) -> DataFrame:
-    """Cut the lineage into the folder named by ``spark.checkpoint.dir``."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, which all executors share.
+
+    Where it is unset, a local session gets a temporary folder of its own.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="querylog-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def written(frame: DataFrame) -> DataFrame:
+    """Write ``frame`` once to the shared folder and go on from there.
+
+    Cuts the lineage: later reads, also after the loss of an executor, read the
+    files and repeat no shuffle.
+    """
     spark = frame.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="querylog-checkpoint-")
-        context.setCheckpointDir(folder)
-    return frame.checkpoint()
+    path = f"{shared_folder(spark).rstrip('/')}/querylog-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
 
 
 def is_top_k(limit: int, offset: int) -> bool:
@@ -80,10 +93,10 @@ def locate(frame: DataFrame, slot: Column, limit: int, offset: int) -> Located:
 def numbered_page(frame: DataFrame, order: list[Column], limit: int, offset: int) -> DataFrame:
     """A page by row number over a range-partitioned sort.
 
-    The sorted rows are checkpointed because both reads below must see the same
-    partitions. The joined side has one row per partition that the page touches.
+    The sorted rows are written, because both reads below must see the same
+    positions. The joined side has one row per partition that the page touches.
     """
-    rows = checkpointed(frame.sort(*order).withColumn("_pos", F.monotonically_increasing_id()))
+    rows = written(frame.sort(*order).withColumn("_pos", F.monotonically_increasing_id()))
     part = F.shiftright("_pos", _ROW_BITS)
     sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))
     before = F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")

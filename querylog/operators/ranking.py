@@ -17,11 +17,11 @@ from querylog.functions.predicates import (
 )
 from querylog.operators.paging import (
     Page,
-    checkpointed,
     is_top_k,
     locate,
     page_within,
     top_page,
+    written,
 )
 from querylog.schema import UNKNOWN
 from querylog.validation import (
@@ -114,7 +114,7 @@ def top_list(
     kept = where_all(log, [in_range(log, range, as_of), *blocked_only(filter)])
     grouped = grouped_counts(kept, _KINDS[kind][0])
     if not is_top_k(limit, offset):
-        grouped = checkpointed(grouped)  # read several times to find the page
+        grouped = written(grouped)  # read several times to find the page
     page = _with_share(_rank_page(grouped, limit, offset), grouped)
     items = page.select("name", "count", "blocked", "percentage").orderBy(*rank_order())
     return Page(items, group_totals(grouped))

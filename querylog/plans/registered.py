@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from querylog.api import QueryLog
 from querylog.functions import answers, display, predicates
 from querylog.operators import logs, ranking, snapshot, timeseries
+from querylog.operators.paging import written
 from querylog.plans.fixture import FIXTURE_SQL, fixture_log
 from querylog.schema import LOG_COLUMNS
 from querylog.sinks.tsv import tsv_lines
@@ -138,7 +139,8 @@ def _raw_lines(spark, sf_dir) -> DataFrame:
         .when(F.split(line, "\t")[3] == "", F.concat(line, F.lit("\textra")))
         .otherwise(line)
     )
-    return tsv_lines(dirty, fraction=True).select(broken.alias("value"))
+    # Written, as logs are: what makes the lines is no part of parsing them.
+    return written(tsv_lines(dirty, fraction=True).select(broken.alias("value")))
 
 
 @register(
@@ -198,7 +200,7 @@ def parse_jsonl_logs(spark, sf_dir):
         "response_type",
         "question_type",
     )
-    rows = parse_jsonl_lines(log.select(F.to_json(record).alias("value")))
+    rows = parse_jsonl_lines(written(log.select(F.to_json(record).alias("value"))))
     return rows.withColumn("request_ts", F.col("request_ts").cast("timestamp_ntz"))
 
 
