@@ -16,7 +16,7 @@ from querylog.plans.fixture import FIXTURE_SQL, fixture_log
 from querylog.schema import LOG_COLUMNS
 from querylog.sinks.tsv import tsv_lines
 from querylog.sources.jsonl import parse_jsonl_lines
-from querylog.sources.payloads import parse_payload
+from querylog.sources.payloads import parse_payloads
 from querylog.sources.tsv import parse_tsv_lines, tsv_rejects
 from querylog.streaming.counts import top_per_bucket, windowed_counts, windowed_names
 
@@ -658,7 +658,10 @@ def _payloads(spark, sf_dir) -> DataFrame:
         F.when(F.col("cached") > 0, F.struct(F.col("cached").alias("entries"))).alias("cache"),
         F.lit("ignored").alias("start"),
     )
-    return figures.select("day", "client_ip", parse_payload(F.to_json(document)).alias("payload"))
+    # Written, as payloads are: what makes them is no part of parsing them.
+    return parse_payloads(
+        written(figures.select("day", "client_ip", F.to_json(document).alias("value")))
+    )
 
 
 _FIGURES_SQL = f"""f AS (SELECT strftime(request_ts, '%Y-%m-%d') AS day, client_ip, count(*) AS n,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from querylog.sources.jdbc import read_jdbc
 from querylog.sources.jsonl import read_jsonl
-from querylog.sources.payloads import parse_payload, read_payloads
+from querylog.sources.payloads import parse_payloads, read_payloads
 from querylog.sources.table import read_table
 from querylog.sources.tsv import parse_tsv_lines, read_tsv, tsv_rejects
 
@@ -47,7 +47,7 @@ def read_query_log(spark: SparkSession, kind: str, target: str | None, **options
 
 __all__ = [
     "SOURCE_KINDS",
-    "parse_payload",
+    "parse_payloads",
     "parse_tsv_lines",
     "read_jdbc",
     "read_jsonl",

@@ -31,8 +31,10 @@ RECORD_SCHEMA = T.StructType(
 
 def map_records(records: DataFrame, time_zone: str = "UTC") -> DataFrame:
     """Query records, already split into fields, as log rows."""
-    number = F.col("duration_ms")
-    whole = F.coalesce(number.try_cast("long"), number.try_cast("double").try_cast("long"))
+    number = F.nullif(F.col("duration_ms"), F.lit(""))
+    whole = F.when(F.rlike(number, F.lit(r"^\s*[+-]?\d+\s*$")), number.try_cast("long")).otherwise(
+        number.try_cast("double").try_cast("long")
+    )
     columns = {name: F.col(source) for name, source in _RENAMED.items()}
     columns["request_ts"] = parse_timestamp(F.col("_time"), time_zone)
     columns["duration_ms"] = whole

@@ -51,14 +51,16 @@ def _complete(value: Column, kind: T.DataType) -> Column:
     return present
 
 
-def parse_payload(text: Column) -> Column:
-    """The payload struct of a JSON document, or null if it is malformed:
-    unreadable, of other types, or short of a field."""
-    parsed = F.from_json(text, PAYLOAD_SCHEMA)
-    return F.when(_complete(parsed, PAYLOAD_SCHEMA), parsed)
+def parse_payloads(documents: DataFrame, text: str = "value") -> DataFrame:
+    """Replace the JSON in column ``text`` by the struct ``payload``, null where
+    the document is malformed: unreadable, of other types, or short of a field."""
+    keep = [c for c in documents.columns if c != text]
+    # A projection of its own, so that each document is parsed once.
+    parsed = documents.select(*keep, F.from_json(text, PAYLOAD_SCHEMA).alias("payload"))
+    whole = F.when(_complete(F.col("payload"), PAYLOAD_SCHEMA), F.col("payload"))
+    return parsed.select(*keep, whole.alias("payload"))
 
 
 def read_payloads(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
     """Parsed ``payload`` per line, or per file with ``whole_files``."""
-    text = spark.read.text(path, wholetext=whole_files)
-    return text.select(parse_payload(F.col("value")).alias("payload"))
+    return parse_payloads(spark.read.text(path, wholetext=whole_files).select("value"))

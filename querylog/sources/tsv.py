@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querylog.functions.answers import trim_space
+from querylog.functions.answers import SPACES, trim_space
 from querylog.schema import to_log_schema
 
 # Field order of a line, and the names of log files.
@@ -26,17 +26,25 @@ LOG_FILES = "*.log"
 CLIENT_LOG_FILES = "[0-9][0-9][0-9][0-9]-[0-9][0-9]-[0-9][0-9]_?*.log"
 _FILE_DATE = r"([0-9]{4}-[0-9]{2}-[0-9]{2})_[^/]+\.log$"
 
+_NON_SPACE = f"[^{SPACES}]"
+_ZONED = r"(?:[A-Za-z]|\d[+-]\d{1,2}(?::?\d{2})?)\s*$"
+_MINUTES = r"[ T]\d{1,2}:\d{1,2}\s*$"
 
-def split_lines(lines: DataFrame, line: str = "value", strict_trim: bool = False) -> DataFrame:
-    """Split the non-blank lines into a ``fields`` array, other columns kept.
 
-    Only line ends are stripped, so a line may begin or end with empty fields.
-    ``strict_trim`` strips all outer whitespace first, tabs included; a line
-    ending in an empty field then comes out one field short.
-    """
-    text = F.col(line)
-    body = trim_space(text) if strict_trim else F.rtrim(text, F.lit("\r\n"))
-    return lines.where(trim_space(text) != "").withColumn("fields", F.split(body, "\t", -1))
+def _body(text: Column, strict_trim: bool) -> Column:
+    if strict_trim:
+        return trim_space(text)
+    # Text files come without line ends; trimming characters visits whole lines.
+    ended = F.endswith(text, F.lit("\r")) | F.endswith(text, F.lit("\n"))
+    return F.when(ended, F.rtrim(text, F.lit("\r\n"))).otherwise(text)
+
+
+def _filled(text: Column) -> Column:
+    return F.rlike(text, F.lit(_NON_SPACE))
+
+
+def _split(body: Column) -> Column:
+    return F.split(body, "\t", -1)
 
 
 def parse_timestamp(text: Column, time_zone: str = "UTC") -> Column:
@@ -44,21 +52,25 @@ def parse_timestamp(text: Column, time_zone: str = "UTC") -> Column:
 
     Unreadable text gives null.
     """
-    # A zone after a zone is unreadable, so the first form that reads is right.
-    zone = f" {time_zone}"
-    timed = (F.concat(text, F.lit(zone)), F.concat(text, F.lit(":00" + zone)), text)
-    date = F.concat(text, F.lit(" 00:00:00" + zone))
-    read = F.when(F.length(F.trim(text)) <= 10, date.try_cast("timestamp")).otherwise(
-        F.coalesce(*(form.try_cast("timestamp") for form in timed))
-    )
+    form = text
+    if SparkSession.active().conf.get("spark.sql.session.timeZone") != time_zone:
+        # Told apart first: an attempt that fails costs far more than a match.
+        zone = f" {time_zone}"
+        form = (
+            F.when(F.length(F.trim(text)) <= 10, F.concat(text, F.lit(" 00:00:00" + zone)))
+            .when(F.rlike(text, F.lit(_ZONED)), text)
+            .when(F.rlike(text, F.lit(_MINUTES)), F.concat(text, F.lit(":00" + zone)))
+            .otherwise(F.concat(text, F.lit(zone)))
+        )
     # A bare time of day would be read as today's.
-    return F.when(F.substring(F.ltrim(text), 5, 1) == "-", read)
+    dated = F.substring(F.ltrim(text), 5, 1) == "-"
+    return F.when(dated, form.try_cast("timestamp"))
 
 
 def parse_integer_prefix(text: Column) -> Column:
     """Leading integer of a text, as ``12ms`` to 12; null where there is none."""
     digits = F.regexp_extract(text, r"^\s*([+-]?\d+)", 1)
-    return digits.try_cast("long")
+    return F.nullif(digits, F.lit("")).try_cast("long")
 
 
 def parse_tsv_lines(
@@ -67,8 +79,15 @@ def parse_tsv_lines(
     strict_trim: bool = False,
     time_zone: str = "UTC",
 ) -> DataFrame:
-    """Log rows of the well-formed lines. Fields past the eleventh are ignored."""
-    rows = split_lines(lines, line, strict_trim).where(F.size("fields") >= len(TSV_FIELDS))
+    """Log rows of the well-formed lines. Fields past the eleventh are ignored.
+
+    Only line ends are stripped, so a line may begin or end with empty fields.
+    ``strict_trim`` strips all outer whitespace first, tabs included; a line
+    ending in an empty field then comes out one field short.
+    """
+    body = _body(F.col(line), strict_trim)
+    rows = lines.where((F.size(_split(body)) >= len(TSV_FIELDS)) & _filled(F.col(line)))
+    rows = rows.select(_split(body).alias("fields"))
     field = {name: F.get("fields", F.lit(i)) for i, name in enumerate(TSV_FIELDS)}
     field["request_ts"] = parse_timestamp(field["request_ts"], time_zone)
     field["duration_ms"] = parse_integer_prefix(field["duration_ms"])
@@ -77,12 +96,12 @@ def parse_tsv_lines(
 
 
 def tsv_rejects(lines: DataFrame, line: str = "value", strict_trim: bool = False) -> DataFrame:
-    """The malformed lines, ``line, n_fields``: fewer than eleven fields."""
-    rows = split_lines(lines, line, strict_trim)
-    n_fields = F.size("fields")
-    return rows.where(n_fields < len(TSV_FIELDS)).select(
-        F.col(line).alias("line"), n_fields.alias("n_fields")
-    )
+    """The malformed lines, ``line, n_fields``: not blank, and fewer than eleven
+    fields."""
+    body = _body(F.col(line), strict_trim)
+    n_fields = F.size(_split(body))
+    short = lines.where((n_fields < len(TSV_FIELDS)) & _filled(F.col(line)))
+    return short.select(F.col(line).alias("line"), n_fields.alias("n_fields"))
 
 
 def list_files(spark: SparkSession, directory: str, glob: str) -> DataFrame:

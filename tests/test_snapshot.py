@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 
 import pytest
-from pyspark.sql import functions as F
 from seed import AS_OF
 
 from querylog.operators.snapshot import (
@@ -14,7 +13,7 @@ from querylog.operators.snapshot import (
     snapshot_overview,
     snapshot_top_lists,
 )
-from querylog.sources.payloads import parse_payload
+from querylog.sources.payloads import parse_payloads
 
 
 def payload(indent=None, **changes):
@@ -40,7 +39,7 @@ def payload(indent=None, **changes):
 
 def _parsed(spark, *texts):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc int, text string")
-    return rows.select("doc", parse_payload(F.col("text")).alias("payload"))
+    return parse_payloads(rows, "text")
 
 
 def test_overview(spark):
