@@ -76,7 +76,7 @@ TIME_RANGES = {
 }
 
 EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
-_UTC_NAMES = {"UTC", "Etc/UTC", "GMT", "Z", "+00:00"}
+UTC_NAMES = {"UTC", "Etc/UTC", "GMT", "Z", "+00:00"}
 
 
 def as_utc(moment: datetime | None) -> datetime:
@@ -101,7 +101,7 @@ def utc_text(moment: datetime) -> str:
 def is_wall_clock(log: DataFrame) -> bool:
     """Whether ``request_ts`` carries UTC wall-clock values instead of instants."""
     wall = isinstance(log.schema["request_ts"].dataType, T.TimestampNTZType)
-    if wall and log.sparkSession.conf.get("spark.sql.session.timeZone") not in _UTC_NAMES:
+    if wall and log.sparkSession.conf.get("spark.sql.session.timeZone") not in UTC_NAMES:
         raise ValueError(
             "request_ts is TIMESTAMP_NTZ, read as UTC: set spark.sql.session.timeZone to UTC"
         )

@@ -16,17 +16,24 @@ def with_date(log: DataFrame) -> DataFrame:
 
 
 def write_table(
-    log: DataFrame, path: str, mode: str = "errorifexists", format: str = "parquet"
+    log: DataFrame,
+    path: str,
+    mode: str = "errorifexists",
+    format: str = "parquet",
+    rebalance: bool = True,
 ) -> None:
     """Store the log once; range queries on it skip directories and row groups.
 
     Rebalancing splits large days over several tasks and lets small ones share.
-    Rows are sorted by time within a file, so each row group spans little of it.
+    It shuffles the log: leave it out where each input file covers few days, as
+    daily log files do. Rows are sorted by time within a file, so that each row
+    group spans little of it.
     """
+    rows = with_date(log)
+    if rebalance:
+        rows = rows.hint("rebalance", DATE_COLUMN)
     (
-        with_date(log)
-        .hint("rebalance", DATE_COLUMN)
-        .sortWithinPartitions(DATE_COLUMN, "request_ts")
+        rows.sortWithinPartitions(DATE_COLUMN, "request_ts")
         .write.mode(mode)
         .format(format)
         .partitionBy(DATE_COLUMN)

@@ -53,7 +53,8 @@ def parse_jsonl_lines(
     mode = {"fail": "FAILFAST", "drop": "PERMISSIVE"}[malformed]
     filled = lines.where(F.trim(line) != "")
     record = F.from_json(line, RECORD_SCHEMA, {"mode": mode})
-    return map_records(filled.select(record.alias("r")).select("r.*"), time_zone)
+    # Catalyst does not push filters through a generator: lines are parsed once.
+    return map_records(filled.select(F.inline(F.array(record))), time_zone)
 
 
 def read_jsonl(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querylog.functions.answers import SPACES, trim_space
-from querylog.schema import to_log_schema
+from querylog.schema import UTC_NAMES, to_log_schema
 
 # Field order of a line, and the names of log files.
 TSV_FIELDS = (
@@ -25,7 +25,6 @@ TSV_FIELDS = (
 LOG_FILES = "*.log"
 CLIENT_LOG_FILES = "[0-9][0-9][0-9][0-9]-[0-9][0-9]-[0-9][0-9]_?*.log"
 _FILE_DATE = r"([0-9]{4}-[0-9]{2}-[0-9]{2})_[^/]+\.log$"
-
 _NON_SPACE = f"[^{SPACES}]"
 _ZONED = r"(?:[A-Za-z]|\d[+-]\d{1,2}(?::?\d{2})?)\s*$"
 _MINUTES = r"[ T]\d{1,2}:\d{1,2}\s*$"
@@ -53,7 +52,8 @@ def parse_timestamp(text: Column, time_zone: str = "UTC") -> Column:
     Unreadable text gives null.
     """
     form = text
-    if SparkSession.active().conf.get("spark.sql.session.timeZone") != time_zone:
+    session_zone = SparkSession.active().conf.get("spark.sql.session.timeZone")
+    if session_zone != time_zone and not UTC_NAMES.issuperset((session_zone, time_zone)):
         # Told apart first: an attempt that fails costs far more than a match.
         zone = f" {time_zone}"
         form = (
@@ -86,8 +86,10 @@ def parse_tsv_lines(
     ending in an empty field then comes out one field short.
     """
     body = _body(F.col(line), strict_trim)
-    rows = lines.where((F.size(_split(body)) >= len(TSV_FIELDS)) & _filled(F.col(line)))
-    rows = rows.select(_split(body).alias("fields"))
+    # Catalyst does not push filters through a generator: lines are split once.
+    rows = lines.where(_filled(F.col(line)))
+    rows = rows.select(F.explode(F.array(_split(body))).alias("fields"))
+    rows = rows.where(F.size("fields") >= len(TSV_FIELDS))
     field = {name: F.get("fields", F.lit(i)) for i, name in enumerate(TSV_FIELDS)}
     field["request_ts"] = parse_timestamp(field["request_ts"], time_zone)
     field["duration_ms"] = parse_integer_prefix(field["duration_ms"])

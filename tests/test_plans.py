@@ -78,3 +78,12 @@ def test_rank_within_bucket_is_cut_before_the_shuffle(spark):
 def test_no_python_in_the_plan(spark, name):
     plan = _plan(QUERIES[name](spark, SF_DIR))
     assert "Python" not in plan and "Pandas" not in plan and "CartesianProduct" not in plan
+
+
+def test_lines_and_records_are_parsed_once(spark, seed_log):
+    from querylog.sources.jsonl import parse_jsonl_lines
+    from querylog.sources.tsv import parse_tsv_lines
+
+    lines = seed_log.selectExpr("answer AS value")
+    assert _plan(parse_tsv_lines(lines)).count("split(") == 1
+    assert _plan(parse_jsonl_lines(lines)).count("from_json(") == 1

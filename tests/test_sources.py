@@ -301,9 +301,10 @@ def test_client_with_most_rows_is_split(spark, tmp_path):
     assert read_tsv(spark, f"{tmp_path}/t", glob="*.txt").count() == n
 
 
-def test_table_prunes_dates(spark, seed_log, tmp_path):
+@pytest.mark.parametrize("rebalance", [True, False])
+def test_table_prunes_dates(spark, seed_log, tmp_path, rebalance):
     undated = seed_log.limit(1).withColumn("request_ts", F.lit(None).cast("timestamp"))
-    write_table(seed_log.unionByName(undated), f"{tmp_path}/t")
+    write_table(seed_log.unionByName(undated), f"{tmp_path}/t", rebalance=rebalance)
     log = read_query_log(spark, "table", f"{tmp_path}/t")
     assert log.count() == 46
     recent = log.where(in_range(log, "24h", AS_OF))
