@@ -8,7 +8,6 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querylog.api import QueryLog
 from querylog.functions import answers, display, predicates
 from querylog.operators import logs, ranking, snapshot, timeseries
 from querylog.operators.paging import written

@@ -99,14 +99,14 @@ def read_jdbc(
     the reader.
     """
     settings = {**jdbc_options(kind, target), "dbtable": table, **options}
-    if start is None or end is None:
-        rows = spark.read.format("jdbc").options(**settings).load()
-        if since is not None:
-            rows = rows.where(F.col("request_ts") >= F.lit(utc_text(since)))
-    else:
-        url = settings.pop("url")
+    if start is not None and end is not None:
         predicates = time_slices(start, end, slices, since)
-        rows = spark.read.jdbc(url, settings.pop("dbtable"), predicates=predicates, properties=settings)
+    elif since is not None:
+        predicates = [f"request_ts >= '{utc_text(since)}'"]
+    else:
+        predicates = ["1 = 1"]
+    url, name = settings.pop("url"), settings.pop("dbtable")
+    rows = spark.read.jdbc(url, name, predicates=predicates, properties=settings)
     return normalise_rows(rows, empty_as_null=empty_as_null)
 
 

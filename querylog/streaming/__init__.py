@@ -1,0 +1,13 @@
+"""Structured Streaming: following logs, and counts per time window."""
+
+from querylog.streaming.counts import top_per_bucket, windowed_counts, windowed_names
+from querylog.streaming.ingest import stream_jsonl, stream_to_table, stream_tsv
+
+__all__ = [
+    "stream_jsonl",
+    "stream_to_table",
+    "stream_tsv",
+    "top_per_bucket",
+    "windowed_counts",
+    "windowed_names",
+]

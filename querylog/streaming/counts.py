@@ -1,7 +1,7 @@
 """Windowed counts over a streamed log.
 
 Rows later than the watermark are dropped, where a batch run would count them:
-batch results stay the reference.
+where the two differ, the batch result is the right one.
 """
 
 from __future__ import annotations

@@ -8,11 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 from seed import AS_OF, seed_rows
 
-from querylog import QueryLog, write_table, write_tsv
+from querylog import QueryLog, write_table
 from querylog.schema import TIME_RANGES
 from querylog.sources.tsv import TSV_FIELDS
 
-KINDS = ["frame", "wall-clock", "csv", "csv-client", "console", "table", "export"]
+KINDS = ["wall-clock", "csv", "csv-client", "console", "table"]
 
 
 def _iso(row):
@@ -44,8 +44,6 @@ def _json(row):
 def log(request, spark, seed_log, tmp_path_factory):
     kind, folder = request.param, tmp_path_factory.mktemp("source")
     rows = seed_rows()
-    if kind == "frame":
-        return QueryLog(seed_log, AS_OF)
     if kind == "wall-clock":
         wall = seed_log.withColumn("request_ts", F.col("request_ts").cast("timestamp_ntz"))
         return QueryLog(wall, AS_OF)
@@ -62,9 +60,6 @@ def log(request, spark, seed_log, tmp_path_factory):
     elif kind == "table":
         write_table(seed_log, f"{folder}/t")
         return QueryLog.open(spark, "table", f"{folder}/t", AS_OF)
-    elif kind == "export":
-        write_tsv(seed_log, f"{folder}/t", per_client=True)
-        return QueryLog.open(spark, "csv", f"{folder}/t", AS_OF, glob="*.txt")
     return QueryLog.open(spark, kind, str(folder), AS_OF)
 
 

@@ -63,12 +63,12 @@ def _newest_first(rows):
 ORDERED = [r[0] for r in _newest_first(ROWS)]
 
 
-@pytest.fixture(params=[5, 60, 1000])
+@pytest.fixture(params=[5, 1000])
 def top_k(request, monkeypatch):
     monkeypatch.setattr(paging, "TOP_K_ROWS", request.param)
 
 
-@pytest.mark.parametrize("limit, offset", [(10, 0), (100, 900), (100, 1700), (7, N - 5), (10, N)])
+@pytest.mark.parametrize("limit, offset", [(10, 0), (100, 1700), (7, N - 5), (10, N)])
 def test_log_pages(log, top_k, limit, offset):
     page = query_logs(log, limit=limit, offset=offset)
     assert [r["id"] for r in page.items.collect()] == ORDERED[offset : offset + limit]
@@ -93,7 +93,7 @@ def _ranked(column):
 
 
 @pytest.mark.parametrize("kind, column", [("domains", 2), ("clients", 3)])
-@pytest.mark.parametrize("offset", [0, 95, 330, 2000])
+@pytest.mark.parametrize("offset", [0, 330, 2000])
 def test_ranked_pages(log, top_k, kind, column, offset):
     page = top_list(
         log, kind, "30d", limit=40, offset=offset, as_of=START + timedelta(days=10)
@@ -123,7 +123,7 @@ def test_ends_of_the_calendar(spark, monkeypatch, moment):
     assert [r["id"] for r in found] == [r[0] for r in order[2:4]]
 
 
-@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
 @given(
     sizes=st.lists(st.integers(1, 40), min_size=1, max_size=8),
     limit=st.integers(1, 30),

@@ -330,3 +330,10 @@ def test_payload_files(spark, tmp_path):
 
 def test_seed_rows_are_complete():
     assert len(seed_rows()) == 45
+
+
+@pytest.mark.parametrize("options", [{}, {"since": AS_OF}, {"start": AS_OF, "end": AS_OF}])
+def test_missing_driver_is_reported(spark, options):
+    """Without the driver JAR the reader fails before it connects anywhere."""
+    with pytest.raises(Exception, match="org.sqlite.JDBC"):
+        read_query_log(spark, "sqlite", "/nowhere/log.db", **options)
