@@ -25,12 +25,18 @@ _UNDATED = -(1 << 62)
 
 
 def log_order() -> list[Column]:
-    """Newest first, undated rows last; names and ids settle equal timestamps."""
-    return [
+    """Newest first, undated rows last; names and ids settle equal timestamps.
+
+    The other columns settle the rest, so that pages of a log without ids never
+    overlap: rows that still tie are copies of each other.
+    """
+    first = [
         F.desc_nulls_last("request_ts"),
         F.asc_nulls_first("question_name"),
         F.asc_nulls_first("id"),
     ]
+    named = {"request_ts", "question_name", "id"}
+    return first + [F.asc_nulls_first(c) for c in LOG_COLUMNS if c not in named]
 
 
 def filtered_logs(
@@ -92,12 +98,12 @@ def _between(rest: DataFrame, found: Located, width: int) -> DataFrame:
     if found.first == _UNDATED:
         return rest.where(undated)
     try:
-        rest = rest.where(undated | before(rest, _moment(found.first + 1, width)))
+        upper = before(rest, _moment(found.first + 1, width))
     except OverflowError:
-        pass  # the slot ends with the calendar: nothing is newer
+        upper = F.lit(True)  # the slot ends with the calendar: nothing is newer
     if found.last == _UNDATED:
-        return rest
-    return rest.where(since(rest, _moment(found.last, width)))
+        return rest.where(undated | upper)
+    return rest.where(since(rest, _moment(found.last, width)) & upper)
 
 
 def _moment(slot: int, width: int) -> datetime:

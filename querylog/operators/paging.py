@@ -91,13 +91,25 @@ def locate(frame: DataFrame, slot: Column, limit: int, offset: int) -> Located:
     return Located(row["total"], row["first"], row["last"], row["before"])
 
 
+def numbered(frame: DataFrame, order: list[Column]) -> DataFrame:
+    """Sort over range partitions and keep each row's position as ``_pos``.
+
+    Rows that tie in ``order`` are told apart by a salt, so that any number of
+    them spreads over the partitions. The frame is written first, so that every
+    attempt of a task gives its rows the same salts; the sorted rows are written
+    so that later reads see the same positions.
+    """
+    salted = written(frame).withColumn("_salt", F.monotonically_increasing_id())
+    rows = salted.sort(*order, "_salt").drop("_salt")
+    return written(rows.withColumn("_pos", F.monotonically_increasing_id()))
+
+
 def numbered_page(frame: DataFrame, order: list[Column], limit: int, offset: int) -> DataFrame:
-    """A page by row number over a range-partitioned sort.
+    """A page by row number, for frames in which nothing narrower locates it.
 
-    The sorted rows are written, because both reads below must see the same
-    positions. The joined side has one row per partition that the page touches.
+    The joined side has one row per partition that the page touches.
     """
-    rows = written(frame.sort(*order).withColumn("_pos", F.monotonically_increasing_id()))
+    rows = numbered(frame, order)
     part = F.shiftright("_pos", _ROW_BITS)
     sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))
     before = F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")

@@ -135,3 +135,38 @@ def test_numbered_page(spark, sizes, limit, offset):
     page = paging.numbered_page(frame, [F.desc("k"), F.asc("i")], limit, offset)
     expected = sorted(values, key=lambda v: (-v[0], v[1]))[offset : offset + limit]
     assert [tuple(r) for r in page.collect()] == expected
+
+
+def test_copies_spread_over_partitions(spark):
+    copies = spark.range(20_000).select(F.lit(1).alias("k"), F.lit("same").alias("name"))
+    key = "spark.sql.adaptive.coalescePartitions.enabled"  # would join such few rows
+    spark.conf.set(key, "false")
+    try:
+        rows = paging.numbered(copies, [F.desc("k"), F.asc("name")])
+    finally:
+        spark.conf.unset(key)
+    parts = rows.groupBy(F.shiftright("_pos", 33)).count().collect()
+    assert len(parts) > 1 and max(p[1] for p in parts) < 20_000 / 2
+    assert sum(p[1] for p in parts) == 20_000
+
+
+def test_pages_of_a_log_without_ids(spark, top_k):
+    """A third of the rows are copies, a third differ in the client only."""
+    rows = [
+        (START, "hot", "c" if i % 3 == 0 else f"c{i}") if i % 3 < 2 else (None, f"d{i}", None)
+        for i in range(240)
+    ]
+    small = spark.createDataFrame(
+        rows, "request_ts timestamp, question_name string, client_name string"
+    ).repartition(4)
+    cols = [
+        (F.col(f.name) if f.name in small.columns else F.lit(None).cast(f.dataType)).alias(f.name)
+        for f in LOG_SCHEMA
+    ]
+    log = small.select(*cols).cache()
+    found = []
+    for offset in range(0, 240, 60):
+        page = query_logs(log, limit=60, offset=offset).items
+        found += [tuple(r) for r in page.select(*small.columns).collect()]
+    dated = sorted(r for r in rows if r[0])
+    assert found == dated + sorted((r for r in rows if not r[0]), key=lambda r: r[1])

@@ -87,3 +87,16 @@ def test_lines_and_records_are_parsed_once(spark, seed_log):
     lines = seed_log.selectExpr("answer AS value")
     assert _plan(parse_tsv_lines(lines)).count("split(") == 1
     assert _plan(parse_jsonl_lines(lines)).count("from_json(") == 1
+
+
+def test_pages_of_a_stored_log_prune_dates(spark, seed_log, tmp_path):
+    from querylog import QueryLog, write_table
+
+    write_table(seed_log, f"{tmp_path}/t")
+    log = QueryLog.open(spark, "table", f"{tmp_path}/t")
+    page = log.query_logs(limit=2, offset=30).items
+    plan = _plan(page)
+    bounds = re.search(r"PartitionFilters: \[(.*?)\], PushedFilters: \[(.*?)\]", plan).groups()
+    assert ">=" in bounds[0] and "<=" in bounds[0]
+    assert "GreaterThanOrEqual(request_ts" in bounds[1] and "LessThan(request_ts" in bounds[1]
+    assert page.count() == 2
