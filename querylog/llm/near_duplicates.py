@@ -9,10 +9,15 @@ coordinate fills, and the share of equal coordinates of two sketches estimates t
 Jaccard similarity with Chernoff-like tails.
 
 Bands of ``rows`` coordinates are joined into buckets. Pairs are not spelled out
-inside a bucket: in each round every class meets one leader of its buckets, and
-confirmed links merge components. What remains are buckets that still hold more than
-one component; their classes meet across components until none is untested. Each
-link is confirmed on full sets, which are made again from whole texts.
+inside a bucket: first, in rounds, every class meets one leader of its buckets, and
+confirmed links merge components. Then only buckets that hold more than one component
+are left. Their members are compared across components, inside tasks, in blocks of
+bounded size, each pair in the first band that it shares: first by sketch, then, for
+what can still be a link, on full sets. A block gives out no more links than connect
+its members. Every link is confirmed on full sets, made again from whole texts.
+
+Classes by the thousand that are all about as similar as the threshold, without being
+linked, take comparisons by the square of their number; nothing else does.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from querylog.llm.blocks import by_group, compared, dealt_in_blocks, first_met, regrouped, shared_counts, spanning
 from querylog.llm.components import component_labels
 from querylog.llm.shared import row_key, staged
 from querylog.llm.textkit import mixed, shingle_set, signed, spaced_words
@@ -40,7 +46,8 @@ class Sketching:
     """Shingle length, similarity as a percentage, and the shape of the sketch.
 
     With 48 bands of 6 coordinates a pair at 80 % misses every band once in two
-    million; ``margin`` (of six standard deviations) only spares exact checks.
+    million. The sketch spares exact checks of pairs six standard deviations below the
+    similarity. ``turns`` bounds the rounds with leaders, ``block`` the groups after them.
     """
 
     shingle_words: int = 5
@@ -48,6 +55,8 @@ class Sketching:
     bands: int = 48
     rows: int = 6
     seed: int = 1
+    turns: int = 6
+    block: int = 512
 
     @property
     def coordinates(self) -> int:
@@ -141,26 +150,69 @@ def _equal_bytes(a, b):
 
     @F.arrow_udf("int")
     def count(left: pa.Array, right: pa.Array) -> pa.Array:
-        def grid(x):
-            return np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(len(x), -1)
-
         if not len(left):
             return pa.array([], pa.int32())
-        return pa.array((grid(left) == grid(right)).sum(axis=1).astype(np.int32))
+        return pa.array((_grid(left) == _grid(right)).sum(axis=1).astype(np.int32))
 
     return count(a, b)
 
 
+def _grid(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def _plausible(how: Sketching):
+    """Of each group the members that may have a link, judged by sketch and size."""
+
+    def body(group: pa.Table) -> pa.RecordBatch | None:
+        if group.num_rows < 2:
+            return None
+        bands = group.column("bands").combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1)
+        size = group.column("n_shingles").to_numpy()
+        pairs = compared(group)
+        pairs &= np.minimum.outer(size, size) * 100 >= np.maximum.outer(size, size) * how.percent
+        pairs = first_met(bands, group.column("bucket")[0].as_py(), pairs)
+        if not pairs.any():
+            return None
+        brief, found = _grid(group.column("brief")), set()
+        left, right = np.nonzero(pairs)
+        for i in range(0, len(left), 20_000):
+            a, b = left[i : i + 20_000], right[i : i + 20_000]
+            near = (brief[a] == brief[b]).sum(axis=1) >= how.least_equal
+            found.update(a[near].tolist(), b[near].tolist())
+        if not found:
+            return None
+        kept = group.select(["bucket", "bi", "bj", "block", "class", "label"]).take(sorted(found))
+        return kept.combine_chunks().to_batches()[0]
+
+    return lambda batches: by_group(batches, body)
+
+
+def _linked(how: Sketching):
+    """Links of each group, confirmed on full sets: enough to connect its members."""
+
+    def body(group: pa.Table) -> pa.RecordBatch | None:
+        sets = [shingle_set(spaced_words(t), how.shingle_words) for t in group.column("text").cast(pa.binary()).to_pylist()]
+        both, size = shared_counts(sets), np.array([len(s) for s in sets])
+        links = spanning(compared(group) & (100 * both >= how.percent * (np.add.outer(size, size) - both)))
+        if not links:
+            return None
+        names = group.column("class").to_pylist()
+        ends = [[names[pair[k]] for pair in links] for k in (0, 1)]
+        return pa.RecordBatch.from_arrays([pa.array(e, pa.binary()) for e in ends], names=["a", "b"])
+
+    return lambda batches: by_group(batches, body)
+
+
 class _Linker:
     """Grows components over classes, testing pairs from shared buckets."""
 
     def __init__(self, classes: DataFrame, entries: DataFrame, texts: DataFrame, how: Sketching):
         self.classes, self.entries, self.texts, self.how = classes, entries, texts, how
         self.labels: DataFrame | None = None
-        self.tested: DataFrame | None = None
 
-    def labelled(self) -> DataFrame:
-        """Entries of buckets that hold more than one component."""
+    def open_entries(self) -> DataFrame:
+        """Members of the buckets that hold more than one component."""
         if self.labels is None:
             return self.entries.withColumn("label", F.col("class"))
         entries = self.entries.join(self.labels, "class", "left")
@@ -168,65 +220,57 @@ class _Linker:
         open_ = entries.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
         return entries.join(open_.filter("lo != hi").select("bucket"), "bucket", "left_semi")
 
-    def led(self, entries: DataFrame, turn: int) -> DataFrame:
-        """Each class with one leader: the one that comes first of all its buckets' leaders."""
+    def merge(self, links: DataFrame) -> None:
+        if self.labels is not None:
+            links = links.unionByName(self.labels.select(F.col("class").alias("a"), F.col("label").alias("b")))
+        self.labels = component_labels(links).withColumnRenamed("node", "class")
+
+    def meet_leaders(self, entries: DataFrame, turn: int) -> None:
+        """Test each class against one leader, the first of all its buckets' leaders."""
         order = F.struct(F.xxhash64("class", F.lit(turn)).alias("o"), "class", "label")
         leaders = entries.groupBy("bucket").agg(F.min(order).alias("first"))
         met = entries.join(leaders, "bucket").filter("label != first.label")
-        first = met.groupBy("class").agg(F.min("first").alias("first"))
-        return first.select(
-            F.least("class", "first.class").alias("a"), F.greatest("class", "first.class").alias("b")
-        ).distinct()
-
-    def crossed(self, entries: DataFrame) -> DataFrame:
-        """All pairs of a bucket that lie in different components."""
-        other = entries.select("bucket", F.col("class").alias("b"), F.col("label").alias("label_b"))
-        return (
-            entries.withColumnRenamed("class", "a").join(other, "bucket")
-            .filter("a < b AND label != label_b").select("a", "b").distinct()
+        pairs = met.groupBy("class").agg(F.min("first").alias("first")).select(
+            F.col("class").alias("b"), F.col("first.class").alias("a")
         )
-
-    def test(self, pairs: DataFrame) -> None:
-        """Confirm new pairs on full sets and merge the components they link."""
-        if self.tested is not None:
-            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
-        pairs = staged(pairs)
-        brief = self.classes.select("class", "n_shingles", "brief")
-        percent = self.how.percent
-
-        def side(name):
-            return brief.select(
-                F.col("class").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col("brief").alias(f"s_{name}")
+        for name in ("a", "b"):
+            pairs = pairs.join(
+                self.classes.select(
+                    F.col("class").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col("brief").alias(f"s_{name}")
+                ),
+                name,
             )
-
         near = (
-            pairs.join(side("a"), "a").join(side("b"), "b")
-            .filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+            pairs.filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.how.percent)
             .filter(_equal_bytes(F.col("s_a"), F.col("s_b")) >= self.how.least_equal)
             .select("a", "b")
         )
-        text = self.texts
-        near = near.join(text.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a")
-        near = near.join(text.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b")
-        links = near.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed(self.how), "a binary, b binary")
-        if self.labels is not None:
-            links = links.unionByName(self.labels.filter("class != label").select(F.col("class").alias("a"), F.col("label").alias("b")))
-        self.labels = component_labels(links).withColumnRenamed("node", "class")
-        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
-
-    def run(self) -> DataFrame | None:
-        for turn in range(8):
-            entries = staged(self.labelled())
-            if turn >= 2:
-                by = entries.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-                sums = by.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-                work = sums.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2).alias("pairs"), F.sum("n").alias("rows")).first()
-                if not work["rows"]:
-                    return self.labels
-                if turn == 7 or work["pairs"] <= 8 * work["rows"] + 20_000:
-                    self.test(self.crossed(entries))
-                    return self.labels
-            self.test(self.led(entries, turn))
+        for name in ("b", "a"):
+            near = near.join(self.texts.select(F.col("class").alias(name), F.col("text").alias(f"text_{name}")), name)
+        self.merge(near.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed(self.how), "a binary, b binary"))
+
+    def meet_in_blocks(self, entries: DataFrame) -> None:
+        """Test all that remains between components."""
+        dealt = dealt_in_blocks(entries.join(self.classes.drop("row_key", "least_id"), "class"), self.how.block)
+        schema = "bucket long, bi int, bj int, block int, class binary, label binary"
+        near = staged(dealt.mapInArrow(_plausible(self.how), schema))
+        links = regrouped(near.join(self.texts, "class")).mapInArrow(_linked(self.how), "a binary, b binary")
+        self.merge(links)
+
+    def run(self) -> DataFrame:
+        before = None
+        for turn in range(self.how.turns):
+            entries = staged(self.open_entries())
+            sums = entries.groupBy("bucket").agg(F.count("*").alias("n"))
+            sums = sums.agg(F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("n")).alias("work")).first()
+            rows, work = sums["rows"] or 0, sums["work"] or 0
+            if turn and (work <= 4 * rows or rows > 0.8 * before):
+                break
+            before = rows
+            self.meet_leaders(entries, turn)
+        else:
+            entries = staged(self.open_entries())
+        self.meet_in_blocks(entries)
         return self.labels
 
 
@@ -246,28 +290,24 @@ def near_duplicates(docs: DataFrame, how: Sketching | None = None) -> DataFrame:
     schema = f"doc_id {kind}, row_key binary, n_shingles long, class binary, bands array<bigint>, brief binary"
     sketched = staged(rows.mapInArrow(_sketches(how), schema))
 
-    full = sketched.filter("class IS NOT NULL")
-    one = full.groupBy("class").agg(
-        F.min("n_shingles").alias("n_shingles"), F.min("row_key").alias("row_key"), F.min("doc_id").alias("least_id"),
-        F.any_value("brief").alias("brief"), F.any_value("bands").alias("bands"),
+    one = staged(
+        sketched.filter("class IS NOT NULL").groupBy("class").agg(
+            F.min("n_shingles").alias("n_shingles"), F.min("row_key").alias("row_key"),
+            F.min("doc_id").alias("least_id"), F.any_value("brief").alias("brief"), F.any_value("bands").alias("bands"),
+        )
     )
-    one = staged(one)
     entries = one.select("class", F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     entries = staged(entries.join(shared, "bucket", "left_semi"))
-    met = entries.select("class").distinct()
-    classes = staged(one.drop("bands").join(met, "class", "left_semi"))
-    wanted = classes.select("row_key", "class")
+    classes = staged(one.join(entries.select("class").distinct(), "class", "left_semi"))
     texts = staged(
-        rows.select("row_key", "text").join(wanted, "row_key").select("class", "text").dropDuplicates(["class"])
+        rows.select("row_key", "text").join(classes.select("row_key", "class"), "row_key")
+        .select("class", "text").dropDuplicates(["class"])
     )
     labels = _Linker(classes, entries, texts, how).run()
 
-    named = one.select("class", "least_id")
-    if labels is not None:
-        named = named.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
-    else:
-        named = named.withColumn("label", F.col("class"))
+    named = one.select("class", "least_id").join(labels, "class", "left")
+    named = named.withColumn("label", F.coalesce("label", "class"))
     least = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
     named = named.join(least, "label").select("class", F.col("label").alias("component"), "component_id")
     out = sketched.select("doc_id", "n_shingles", "class").join(named, "class", "left")
