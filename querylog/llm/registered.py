@@ -3,9 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from querylog.llm.decontamination import benchmark_hits
+from querylog.llm.importance import resampled
+from querylog.llm.mixing import mixed_rates
 from querylog.llm.near_duplicates import Sketching, near_duplicates
 from querylog.llm.shared import table
+from querylog.llm.toxicity import scored
+
+#: Shares of tokens that the mixture aims at, by domain.
+TARGETS = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
+
+
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in passages of a benchmark."""
+    hits = benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return hits.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,5 +31,40 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op4_minhash_near_dedup,)}
+def op5_mixing_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates that bring the languages of all documents to target shares of tokens."""
+    docs = table(spark, sf_dir, "documents")
+    found = mixed_rates(docs.select("doc_id", "text"), labelled_domains(spark, sf_dir), TARGETS)
+    return found.select("doc_id", "tokens", "shares", "rate")
+
+
+def labelled_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The domain, here the language, of the documents in the labelled table."""
+    named = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    known = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("domain"))
+    return known.join(named, "doc_id", "left_semi")
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn towards trusted text by importance."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resampled(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return scored(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+QUERIES = {
+    query.__name__: query
+    for query in (
+        op2_benchmark_decontamination,
+        op4_minhash_near_dedup,
+        op5_mixing_to_targets,
+        op6_quality_classifier,
+        op8_toxicity,
+    )
+}
 ORACLES: dict[str, str] = {}
