@@ -8,8 +8,8 @@ without replacement in proportion to their weights: Gumbel noise, made from doc_
 and text, is added to the log weight and the ``k`` largest sums stay. ``k`` is the number
 of documents whose own log weight reaches ``least``.
 
-Raw counts cover every document. The target is fitted on ``most_trusted`` labelled
-rows at most, chosen by hash.
+Raw counts cover every document. The target is fitted on a bounded number of labelled
+rows at most, chosen by hash (see ``trusted_rows``).
 """
 
 from __future__ import annotations
@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from querylog.llm.shared import staged, trusted_rows
 from querylog.llm.textkit import mixed, word_hashes
 
 _TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^\x00-\x200-9A-Za-z\x7f-\xff]+")
 BUCKETS = 1 << 16
-MOST_TRUSTED = 20_000
 LEAST = -8.0
 SEED = 17
 
@@ -59,13 +59,6 @@ def bucket_counts(texts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     return out
 
 
-def trusted_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_TRUSTED) -> DataFrame:
-    """Texts of at most ``most`` documents labelled as good."""
-    ids = labels.filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.join(F.broadcast(ids), "doc_id", "left_semi")
-
-
 def log_ratios(target: np.ndarray, raw: np.ndarray, prior: float = 60.0) -> np.ndarray:
     """Log ratio per bucket; ``prior`` pseudo tokens per bucket pull the target to the raw."""
     share = (raw + 1.0) / (raw.sum() + len(raw))
@@ -124,8 +117,6 @@ def resampled(docs: DataFrame, labels: DataFrame, least: float = LEAST) -> DataF
     ``docs`` stay, and must not have the three new names. Null and empty texts have the
     weight 0. Equal rows share noise and fate. Without trusted rows all weights are 0.
     """
-    from querylog.llm.shared import staged
-
     spark = docs.sparkSession
     raw = bucket_counts(docs)
     trusted = bucket_counts(trusted_rows(docs.select("doc_id", "text"), labels))

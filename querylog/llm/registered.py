@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from querylog.llm.chat import formatted_chats, read_back, under_mask
 from querylog.llm.decontamination import benchmark_hits
 from querylog.llm.importance import resampled
 from querylog.llm.mixing import mixed_rates
 from querylog.llm.near_duplicates import Sketching, near_duplicates
+from querylog.llm.rules import judged
 from querylog.llm.shared import table
 from querylog.llm.toxicity import scored
 
@@ -16,6 +18,24 @@ from querylog.llm.toxicity import scored
 TARGETS = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations as training text, and what is read back from it."""
+    own = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", own), (-1, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    chats = formatted_chats(turns.unionByName(extra))
+    back = chats.select(
+        "conv_id", "formatted", read_back(F.col("formatted")).alias("turns"),
+        under_mask(F.col("formatted"), F.col("loss_spans")).alias("loss"),
+    )
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in passages of a benchmark."""
     hits = benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -57,14 +77,21 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule counts, likelihood ratio and verdict of every document."""
+    return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     query.__name__: query
     for query in (
+        op1_chat_formatting,
         op2_benchmark_decontamination,
         op4_minhash_near_dedup,
         op5_mixing_to_targets,
         op6_quality_classifier,
         op8_toxicity,
+        op10_quality_rules,
     )
 }
 ORACLES: dict[str, str] = {}

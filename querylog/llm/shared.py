@@ -75,3 +75,14 @@ def row_key(frame: DataFrame, *names: str) -> Column:
         value = frame[name].cast("string")
         parts += [F.when(value.isNull(), "n").otherwise(F.concat(F.lit("v"), F.length(value), F.lit(":"), value))]
     return F.unhex(F.md5(F.concat(*parts)))
+
+
+#: Labelled rows that trusted text is fitted on, at most.
+MOST_TRUSTED = 20_000
+
+
+def trusted_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_TRUSTED) -> DataFrame:
+    """Texts of at most ``most`` documents labelled as good."""
+    ids = labels.filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
+    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return docs.join(F.broadcast(ids), "doc_id", "left_semi")
