@@ -206,4 +206,5 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, window: int = 10, shingle_
 def decontaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """The documents that hold no window of any item, with all their columns."""
     hit = benchmark_hits(docs, items, window).filter("n_hit > 0").select(F.col("doc").alias("__hit")).distinct()
-    return docs.join(hit, row_key(docs, "doc_id", "text") == hit["__hit"], "left_anti")
+    keyed = docs.withColumn("__doc", row_key(docs, "doc_id", "text"))
+    return keyed.join(hit, keyed["__doc"] == hit["__hit"], "left_anti").select(*docs.columns)

@@ -80,7 +80,7 @@ def log_weight_of(ratios, buckets: int = BUCKETS):
     return weigh
 
 
-def gumbel(docs: DataFrame, seed: int = SEED):
+def gumbel(seed: int = SEED):
     """Standard Gumbel noise that belongs to a document's id and text, wherever it is computed."""
     bits = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(seed)), 11)
     return -F.log(-F.log((bits.cast("double") + 0.5) / F.lit(float(1 << 53))))
@@ -110,11 +110,11 @@ def kth_largest(scores: DataFrame, name: str, k: int, cells: int = 1024) -> floa
     return high if low is not None and low < high else low
 
 
-def resampled(docs: DataFrame, labels: DataFrame, least: float = LEAST) -> DataFrame:
+def resampled(docs: DataFrame, labels: DataFrame, least: float = LEAST, prefix: str = "") -> DataFrame:
     """All documents with ``log_weight``, ``draw`` (weight plus noise) and ``kept``.
 
-    Needs doc_id and text in ``docs``, doc_id and quality in ``labels``; the columns of
-    ``docs`` stay, and must not have the three new names. Null and empty texts have the
+    Needs doc_id and text in ``docs``, doc_id and quality in ``labels``. The columns of
+    ``docs`` stay; those of the three new names, with their ``prefix``, are replaced. Null and empty texts have the
     weight 0. Equal rows share noise and fate. Without trusted rows all weights are 0.
     """
     spark = docs.sparkSession
@@ -122,9 +122,15 @@ def resampled(docs: DataFrame, labels: DataFrame, least: float = LEAST) -> DataF
     trusted = bucket_counts(trusted_rows(docs.select("doc_id", "text"), labels))
     ratios = log_ratios(trusted, raw) if trusted.sum() else np.zeros(len(raw))
     weigh = log_weight_of(spark.sparkContext.broadcast(ratios))
-    weighed = docs.withColumn("log_weight", weigh("text"))
-    weighed = weighed.withColumn("draw", F.col("log_weight") + gumbel(docs))
-    keys = staged(weighed.select("log_weight", "draw"))
-    k = keys.filter(F.col("log_weight") >= least).count()
-    bar = kth_largest(keys, "draw", k)
-    return weighed.withColumn("kept", F.lit(False) if bar is None else F.col("draw") >= F.lit(bar))
+    weight, draw, kept = (f"{prefix}{name}" for name in ("log_weight", "draw", "kept"))
+    weighed = docs.withColumn(weight, weigh("text"))
+    weighed = weighed.withColumn(draw, F.col(weight) + gumbel())
+    keys = staged(weighed.select(weight, draw))
+    k = keys.filter(F.col(weight) >= least).count()
+    bar = kth_largest(keys, draw, k)
+    return weighed.withColumn(kept, F.lit(False) if bar is None else F.col(draw) >= F.lit(bar))
+
+
+def resampled_only(docs: DataFrame, labels: DataFrame, least: float = LEAST) -> DataFrame:
+    """The documents that are drawn, with their own columns."""
+    return resampled(docs, labels, least, prefix="__").filter("__kept").select(*docs.columns)

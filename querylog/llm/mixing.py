@@ -127,7 +127,7 @@ def domain_model(docs: DataFrame, labelled: DataFrame, how: Mixing) -> tuple[lis
 def mixed_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], how: Mixing | None = None) -> DataFrame:
     """All documents with ``tokens``, ``shares`` (per domain in order of name) and ``rate``.
 
-    Needs doc_id and text in ``docs``, whose columns all stay. ``targets`` are shares of
+    Needs doc_id and text in ``docs``, whose columns stay but for those three names. ``targets`` are shares of
     tokens, brought to the sum of one over the domains that labelled rows know; a
     domain without a target has the target 0. Null and empty texts have no tokens and
     rate as their prior says. Without labelled rows, tokens or targets all rates are 1.
@@ -175,4 +175,5 @@ def mixed_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float],
                 names=["tokens", "shares", "rate"],
             )
 
-    return docs.withColumn("__rated", rated("text")).select(*docs.columns, "__rated.*")
+    others = [c for c in docs.columns if c not in ("tokens", "shares", "rate")]
+    return docs.withColumn("__rated", rated("text")).select(*others, "__rated.*")

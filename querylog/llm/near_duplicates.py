@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from querylog.llm.blocks import by_group, compared, dealt_in_blocks, first_met, regrouped, shared_counts, spanning
 from querylog.llm.components import component_labels
-from querylog.llm.shared import row_key, staged
+from querylog.llm.shared import SPACED_WORD, row_key, staged
 from querylog.llm.textkit import mixed, shingle_set, signed, spaced_words
 
 
@@ -279,8 +279,8 @@ def near_duplicates(docs: DataFrame, how: Sketching | None = None) -> DataFrame:
 
     Needs ``doc_id`` and ``text``; other columns are ignored. Returns a row per input
     row: ``doc_id``, ``n_shingles``, ``component_id`` (the smallest doc_id reachable),
-    ``kept`` (whether that is its own) and ``component`` (a key, null where the text
-    has no words). A null or empty text has the empty set and is linked with nothing.
+    ``kept`` (whether that is its own), ``component`` (a key, null where the text has
+    no words) and ``text_key`` (see ``row_key``). A null or empty text has the empty set and is linked with nothing.
     Equal rows share all results. A null doc_id takes part but never is the
     component's id; a component of such rows alone has a null id and keeps none.
     """
@@ -310,9 +310,28 @@ def near_duplicates(docs: DataFrame, how: Sketching | None = None) -> DataFrame:
     named = named.withColumn("label", F.coalesce("label", "class"))
     least = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
     named = named.join(least, "label").select("class", F.col("label").alias("component"), "component_id")
-    out = sketched.select("doc_id", "n_shingles", "class").join(named, "class", "left")
+    out = sketched.select("doc_id", "n_shingles", "class", F.col("row_key").alias("text_key")).join(named, "class", "left")
     component_id = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select(
         "doc_id", "n_shingles", component_id.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component_id, F.lit(False)).alias("kept"), "component",
+        F.coalesce(F.col("doc_id") == component_id, F.lit(False)).alias("kept"), "component", "text_key",
     )
+
+
+def deduplicated(docs: DataFrame, how: Sketching | None = None) -> DataFrame:
+    """One document of each component, with all its columns.
+
+    It is the one with the smallest doc_id; a row without one stays only where its
+    component has no other. Of repeated rows one stays, whichever other columns it has.
+    Documents without words are linked with nothing and all stay.
+    """
+    found = near_duplicates(docs, how)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("k")
+    keepers = staged(found.filter("component IS NOT NULL").groupBy("component").agg(first).select(
+        F.col("k.doc_id").alias("__id"), F.col("k.text_key").alias("__key")
+    ))
+    keyed = docs.withColumn("__text_key", row_key(docs, "text"))
+    fits = (keyed["__text_key"] == keepers["__key"]) & keyed["doc_id"].eqNullSafe(keepers["__id"])
+    own = keyed.join(keepers, fits, "left_semi").dropDuplicates(["doc_id", "__text_key"])
+    wordless = keyed.filter(~F.coalesce(F.col("text").rlike(SPACED_WORD), F.lit(False)))
+    return own.unionByName(wordless).select(*docs.columns)

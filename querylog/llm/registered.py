@@ -8,15 +8,27 @@ from pyspark.sql import functions as F
 from querylog.llm.chat import formatted_chats, read_back, under_mask
 from querylog.llm.decontamination import benchmark_hits
 from querylog.llm.importance import resampled
+from querylog.llm.licences import scanned
+from querylog.llm.main_text import extracted
 from querylog.llm.mixing import mixed_rates
 from querylog.llm.near_duplicates import Sketching, near_duplicates
 from querylog.llm.rules import judged
 from querylog.llm.shared import table
 from querylog.llm.toxicity import scored
+from querylog.llm.url_filter import filtered_urls
 
 #: Shares of tokens that the mixture aims at, by domain.
 TARGETS = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
 
+#: The rules of the URL filter.
+URL_RULES = (
+    ("org/", "allow"),
+    ("example.org/es/", "block"),
+    ("example.org/en/1", "block"),
+    ("com/fr/", "allow"),
+    ("com/de/", "block"),
+)
+
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations as training text, and what is read back from it."""
@@ -45,6 +57,12 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-equal documents, by word pairs at a similarity of 0.8."""
     found = near_duplicates(table(spark, sf_dir, "documents"), Sketching(shingle_words=2))
@@ -54,15 +72,15 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_mixing_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates that bring the languages of all documents to target shares of tokens."""
     docs = table(spark, sf_dir, "documents")
-    found = mixed_rates(docs.select("doc_id", "text"), labelled_domains(spark, sf_dir), TARGETS)
+    known = labelled_domains(docs, table(spark, sf_dir, "labels"))
+    found = mixed_rates(docs.select("doc_id", "text"), known, TARGETS)
     return found.select("doc_id", "tokens", "shares", "rate")
 
 
-def labelled_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The domain, here the language, of the documents in the labelled table."""
-    named = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
-    known = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("domain"))
-    return known.join(named, "doc_id", "left_semi")
+def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The domain, here the language, of the good documents in the labelled table."""
+    good = labels.filter("quality = 1").select("doc_id")
+    return docs.select("doc_id", F.col("lang").alias("domain")).join(good, "doc_id", "left_semi")
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,12 +89,23 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampled(docs, table(spark, sf_dir, "labels")).drop("text")
 
 
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence mentions of every document."""
+    return scanned(table(spark, sf_dir, "documents")).drop("detections")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return scored(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule and verdict of every page's URL."""
+    pages = filtered_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return pages.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule counts, likelihood ratio and verdict of every document."""
     return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -87,10 +116,13 @@ QUERIES = {
     for query in (
         op1_chat_formatting,
         op2_benchmark_decontamination,
+        op3_html_extraction,
         op4_minhash_near_dedup,
         op5_mixing_to_targets,
         op6_quality_classifier,
+        op7_licence_scan,
         op8_toxicity,
+        op9_url_filter,
         op10_quality_rules,
     )
 }

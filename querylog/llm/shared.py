@@ -13,7 +13,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: Words between ASCII white space, and words of letters, digits and all beyond ASCII.
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
-PLAIN_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+PLAIN_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # before A to Z are lower-cased
 
 
 def shared_folder(spark: SparkSession) -> str:

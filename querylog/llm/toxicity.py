@@ -253,17 +253,23 @@ def score_of(model):
     return score
 
 
-def scored(docs: DataFrame, labels: DataFrame, how: Network | None = None) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, how: Network | None = None, prefix: str = "") -> DataFrame:
     """All documents with ``held_out``, ``score`` and ``predicted``.
 
-    Needs doc_id and text in ``docs`` (whose columns all stay), doc_id and toxic in
-    ``labels``. Null and empty texts get the score of a text without words. Without
-    labels of both classes every score is 0.
+    Needs doc_id and text in ``docs``, doc_id and toxic in ``labels``. The columns of
+    ``docs`` stay; those of the three new names, with their ``prefix``, are replaced.
+    Null and empty texts get the score of a text without words. Without labels of both
+    classes every score is 0.
     """
     model = trained(docs, labels, how)
     if model is None:
         score = F.lit(0.0)
     else:
         score = score_of(docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model)))("text")
-    out = docs.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("score", score)
-    return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    out = docs.withColumn(f"{prefix}held_out", held_out(F.col("doc_id"))).withColumn(f"{prefix}score", score)
+    return out.withColumn(f"{prefix}predicted", (F.col(f"{prefix}score") >= THRESHOLD).cast("int"))
+
+
+def not_toxic(docs: DataFrame, labels: DataFrame, how: Network | None = None) -> DataFrame:
+    """The documents that are not predicted to be toxic, with their own columns."""
+    return scored(docs, labels, how, prefix="__").filter("__predicted = 0").select(*docs.columns)
