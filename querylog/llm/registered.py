@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from querylog.llm import oracles
 from querylog.llm.chat import formatted_chats, read_back, under_mask
 from querylog.llm.decontamination import benchmark_hits
 from querylog.llm.importance import resampled
@@ -126,4 +127,9 @@ QUERIES = {
         op10_quality_rules,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op1_chat_formatting": oracles.CHATS,
+    "op2_benchmark_decontamination": oracles.DECONTAMINATION,
+    "op4_minhash_near_dedup": oracles.NEAR_DUPLICATES,
+    "op9_url_filter": oracles.url_filter(URL_RULES),
+}
