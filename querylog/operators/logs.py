@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querylog.functions.predicates import before, in_range, log_predicates, since, where_all
-from querylog.operators.paging import Located, Page, is_top_k, locate, page_within
+from querylog.operators.paging import TOP_K_ROWS, Page, Slot, locate, number_slots, page_of, text_slots
 from querylog.operators.timeseries import slot_of
 from querylog.schema import EPOCH, LOG_COLUMNS, epoch_micros
 from querylog.validation import (
@@ -67,43 +67,58 @@ def query_logs(
     offset: int = 0,
     **filters,
 ) -> Page:
-    """A page of log rows.
+    """A page of log rows, and the number of all.
 
     A first job counts rows per hour, reading the timestamp and the filtered
     columns only. It yields the total and the hours the page lies in; the page
     itself then reads only those, in full width. Where one hour still holds too
-    many rows before the page, the search goes on by second and microsecond.
+    many rows before the page, the search goes on by second and microsecond, and
+    amid rows of one microsecond by the other columns in order. Those jobs run in
+    this call, the page when its items are read: rows that come or go in between
+    can shift it.
     """
     check_page(limit, offset)
     kept = filtered_logs(log, **filters)
     rest, skip, total = kept, offset, None
     for width in _SLOT_WIDTHS:
         slot = F.coalesce(slot_of(epoch_micros(kept), 0, width), F.lit(_UNDATED))
-        found = locate(rest, slot, limit, skip)
+        found = locate(rest, [Slot(slot, descending=True)], limit, skip)
         total = found.total if total is None else total
-        if found.first is None:
+        if not found.hits:
             rest, skip = kept.where(F.lit(False)), 0
             break
-        rest, skip = _between(rest, found, width), skip - found.before
-        if is_top_k(limit, skip) or found.first == _UNDATED:
+        (first,), (last,) = found.hits[0], found.hits[-1]
+        rest, skip = _between(rest, first, last, width), skip - found.before
+        if skip <= TOP_K_ROWS or first == _UNDATED:
             break
-    items = page_within(rest.select(*LOG_COLUMNS), log_order(), limit, skip)
+    items = page_of(rest.select(*LOG_COLUMNS), _levels(rest), log_order(), limit, skip)
     totals = log.sparkSession.range(1).select(F.lit(total).cast("long").alias("total_count"))
     return Page(items, totals)
 
 
-def _between(rest: DataFrame, found: Located, width: int) -> DataFrame:
+def _levels(rows: DataFrame) -> list[Slot]:
+    """Slots of the columns that settle equal timestamps, in order."""
+    time = F.coalesce(slot_of(epoch_micros(rows), 0, 1), F.lit(_UNDATED))
+    levels = [Slot(time, descending=True, exact=True)]
+    named = ["question_name", "id"]
+    for name in named + [c for c in LOG_COLUMNS if c not in ("request_ts", *named)]:
+        number = rows.schema[name].dataType.typeName() != "string"
+        levels += number_slots(F.col(name)) if number else text_slots(F.col(name))
+    return levels
+
+
+def _between(rest: DataFrame, first: int, last: int, width: int) -> DataFrame:
     """Rows of the located slots, bounded on the bare timestamp column."""
     undated = F.col("request_ts").isNull()
-    if found.first == _UNDATED:
+    if first == _UNDATED:
         return rest.where(undated)
     try:
-        upper = before(rest, _moment(found.first + 1, width))
+        upper = before(rest, _moment(first + 1, width))
     except OverflowError:
         upper = F.lit(True)  # the slot ends with the calendar: nothing is newer
-    if found.last == _UNDATED:
+    if last == _UNDATED:
         return rest.where(undated | upper)
-    return rest.where(since(rest, _moment(found.last, width)) & upper)
+    return rest.where(since(rest, _moment(last, width)) & upper)
 
 
 def _moment(slot: int, width: int) -> datetime:

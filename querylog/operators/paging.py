@@ -1,20 +1,23 @@
-"""Pages of ordered frames that stay distributed at any offset."""
+"""Pages of ordered frames that stay distributed at any offset.
+
+A page is located before it is read: rows are counted per slot of the leading order
+column, coarse slots first, until so few rows precede the page inside its slots that a
+plain top-k does. Every level is one aggregation; nothing is written anywhere.
+"""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Up to this many rows, offset included, a page is a plain top-k: every task
-#: keeps that many rows and one task merges them. Later pages are located first.
+#: A page is read once no more than this many rows precede it in its slots.
+#: It says how far to narrow; results, laziness and needs are the same at any offset.
 TOP_K_ROWS = 1_000
 
-_ROW_BITS = 33  # monotonically_increasing_id: partition number above, row below
-
 
 @dataclass(frozen=True)
 class Page:
@@ -25,109 +28,96 @@ class Page:
 
 
 @dataclass(frozen=True)
-class Located:
-    """Where a page lies among slots: rows overall, slots it touches, and rows
-    before the first of them. ``first`` is None past the end."""
-
-    total: int
-    first: int | None
-    last: int | None
-    before: int
+class Slot:
+    """A value to count rows by, and its place in the order: descending or ascending
+    (nulls last or first). ``exact`` slots tell all values of the column apart."""
 
+    value: Column
+    descending: bool = False
+    exact: bool = False
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``, which all executors share.
+    @property
+    def order(self) -> Column:
+        return self.value.desc_nulls_last() if self.descending else self.value.asc_nulls_first()
 
-    Where none is set, a local session gets a temporary folder of its own.
-    """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="querylog-"))
-        folder = context.getCheckpointDir()
-    return folder
-
-
-def written(frame: DataFrame) -> DataFrame:
-    """Write ``frame`` once to the shared folder and go on from there.
-
-    Cuts the lineage: later reads, also after the loss of an executor, read the
-    files and repeat no shuffle.
-    """
-    spark = frame.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/querylog-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
 
+@dataclass(frozen=True)
+class Located:
+    """Where a page lies among slots: rows overall, the slots it touches (in order, at
+    most one more than it has rows), rows before the first of them, and that one's size."""
 
-def is_top_k(limit: int, offset: int) -> bool:
-    return offset + limit <= TOP_K_ROWS
+    total: int
+    hits: list[tuple]
+    before: int
+    size: int
 
 
 def top_page(frame: DataFrame, order: list[Column], limit: int, offset: int) -> DataFrame:
     return frame.orderBy(*order).offset(offset).limit(limit)
 
 
-def locate(frame: DataFrame, slot: Column, limit: int, offset: int) -> Located:
-    """Find the slots holding rows ``offset .. offset + limit`` of a frame that
-    is ordered by descending ``slot``.
+def locate(frame: DataFrame, slots: list[Slot], limit: int, offset: int) -> Located:
+    """Find the slots holding rows ``offset .. offset + limit`` of a frame.
 
-    One aggregation; a single row of four numbers comes back. The running total
-    is taken over one row per slot, so slots must be coarse (hours, distinct
-    counts), never row keys.
+    The running total is taken over one row per slot, so slots must be coarse, or the
+    frame narrowed before; no more slots come back than the page has rows.
     """
-    sizes = frame.groupBy(slot.alias("slot")).agg(F.count("*").alias("size"))
-    running = F.sum("size").over(Window.orderBy(F.desc("slot")))
-    placed = sizes.withColumn("before", running - F.col("size"))
+    names = [f"s{i}" for i in range(len(slots))]
+    sizes = frame.groupBy(*(s.value.alias(n) for s, n in zip(slots, names))).agg(F.count("*").alias("size"))
+    order = [Slot(F.col(n), s.descending).order for s, n in zip(slots, names)]
+    running = F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    placed = sizes.select("*", (running - F.col("size")).alias("before"))
     hit = (F.col("before") < offset + limit) & (F.col("before") + F.col("size") > offset)
     row = placed.agg(
         F.coalesce(F.sum("size"), F.lit(0)).alias("total"),
-        F.max(F.when(hit, F.col("slot"))).alias("first"),
-        F.min(F.when(hit, F.col("slot"))).alias("last"),
-        F.coalesce(F.min(F.when(hit, F.col("before"))), F.lit(0)).alias("before"),
+        F.array_sort(F.collect_list(F.when(hit, F.struct("before", "size", *names)))).alias("hits"),
     ).first()
-    return Located(row["total"], row["first"], row["last"], row["before"])
-
-
-def numbered(frame: DataFrame, order: list[Column]) -> DataFrame:
-    """Sort over range partitions and keep each row's position as ``_pos``.
-
-    Rows that tie in ``order`` are told apart by a salt, so that any number of
-    them spreads over the partitions. The frame is written first, so that every
-    attempt of a task gives its rows the same salts; the sorted rows are written
-    so that later reads see the same positions.
-    """
-    salted = written(frame).withColumn("_salt", F.monotonically_increasing_id())
-    rows = salted.sort(*order, "_salt").drop("_salt")
-    return written(rows.withColumn("_pos", F.monotonically_increasing_id()))
-
+    hits = row["hits"]
+    first = hits[0] if hits else None
+    return Located(
+        row["total"], [tuple(h[n] for n in names) for h in hits],
+        first["before"] if first else 0, first["size"] if first else 0,
+    )
 
-def numbered_page(frame: DataFrame, order: list[Column], limit: int, offset: int) -> DataFrame:
-    """A page by row number, for frames in which nothing narrower locates it.
 
-    The joined side has one row per partition that the page touches.
-    """
-    rows = numbered(frame, order)
-    part = F.shiftright("_pos", _ROW_BITS)
-    sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))
-    before = F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")
-    starts = sizes.withColumn("_before", before).where(
-        (F.col("_before") < offset + limit) & (F.col("_before") + F.col("_size") > offset)
-    )
-    number = F.col("_before") + F.col("_pos").bitwiseAND((1 << _ROW_BITS) - 1)
-    return (
-        rows.join(F.broadcast(starts), part == F.col("_part"))
-        .withColumn("_row", number)
-        .where((F.col("_row") >= offset) & (F.col("_row") < offset + limit))
-        .orderBy("_row")
-        .select(*frame.columns)
+def among(slots: list[Slot], hits: Iterable[tuple]) -> Column:
+    """Whether a row lies in one of the slots."""
+    return reduce(
+        lambda a, b: a | b,
+        (reduce(lambda a, b: a & b, (s.value.eqNullSafe(F.lit(v)) for s, v in zip(slots, hit))) for hit in hits),
     )
 
 
-def page_within(frame: DataFrame, order: list[Column], limit: int, offset: int) -> DataFrame:
-    """The page of a frame already narrowed to the slots it touches."""
-    if is_top_k(limit, offset):
-        return top_page(frame, order, limit, offset)
-    return numbered_page(frame, order, limit, offset)
+def page_of(
+    frame: DataFrame, levels: Iterable[Slot], order: list[Column], limit: int, offset: int
+) -> DataFrame:
+    """The page of a frame. ``levels`` are slots in order, coarse to fine for each column;
+    all of them together tell apart what is not equal in every ordered column."""
+    done: list[Slot] = []
+    skip, found, keys = offset, None, []
+    for level in levels:
+        if skip <= TOP_K_ROWS:
+            return top_page(frame, order, limit, skip)
+        keys = [*done, level]
+        found = locate(frame, keys, limit, skip)
+        if not found.hits:
+            return frame.where(F.lit(False))
+        frame, skip = frame.where(among(keys, found.hits)), skip - found.before
+        if level.exact:
+            done.append(level)
+    if skip <= TOP_K_ROWS or found is None:
+        return top_page(frame, order, limit, skip)
+    # What precedes the page now are rows equal to its first: any of them will do.
+    first = among(keys, found.hits[:1])
+    head = frame.where(first).limit(min(limit, found.size - skip))
+    return head.unionByName(frame.where(~first)).orderBy(*order).limit(limit)
+
+
+def text_slots(text: Column) -> list[Slot]:
+    """Slots of a text: ever longer beginnings, then the whole."""
+    return [Slot(F.substring(text, 1, n)) for n in (4, 12)] + [Slot(text, exact=True)]
+
+
+def number_slots(number: Column) -> list[Slot]:
+    """Slots of a whole number: its leading bits, ever more of them."""
+    return [Slot(F.shiftright(number, n)) for n in (40, 20)] + [Slot(number, exact=True)]

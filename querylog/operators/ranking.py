@@ -15,14 +15,7 @@ from querylog.functions.predicates import (
     is_type,
     where_all,
 )
-from querylog.operators.paging import (
-    Page,
-    is_top_k,
-    locate,
-    page_within,
-    top_page,
-    written,
-)
+from querylog.operators.paging import Page, Slot, page_of, text_slots, top_page
 from querylog.schema import UNKNOWN
 from querylog.validation import (
     LIST_KINDS,
@@ -66,35 +59,17 @@ def group_totals(grouped: DataFrame) -> DataFrame:
     )
 
 
-def _with_share(page: DataFrame, grouped: DataFrame) -> DataFrame:
-    """Add each row's percentage of all rows of ``grouped``.
-
-    The joined side is a single row. The always-true condition keeps its blocked
-    total alive: with the same columns on both sides, Spark shuffles the grouped
-    log once and reads that exchange twice.
-    """
-    totals = F.broadcast(group_totals(grouped))
-    return (
-        page.crossJoin(totals)
-        .where(F.col("total_queries") >= F.col("total_blocked"))
-        .withColumn("percentage", percentage(F.col("count"), F.col("total_queries")))
-        .drop("total_count", "total_queries", "total_blocked")
-    )
+_TOTALS = ("total_count", "total_queries", "total_blocked")
 
 
 def _rank_page(grouped: DataFrame, limit: int, offset: int) -> DataFrame:
-    order = rank_order()
-    if is_top_k(limit, offset):
-        return top_page(grouped, order, limit, offset)
     # Few distinct counts exist (their sum is the log), so they make good slots.
-    found = locate(grouped, F.col("count"), limit, offset)
-    if found.first is None:
-        return grouped.where(F.lit(False))
-    rest = grouped.where(F.col("count").between(found.last, found.first))
-    return page_within(rest, order, limit, offset - found.before)
+    name = F.col("name")
+    levels = [Slot(F.col("count"), descending=True, exact=True), *text_slots(F.lower(name)), *text_slots(name)]
+    return page_of(grouped, levels, rank_order(), limit, offset)
 
 
-def top_list(
+def top_list_rows(
     log: DataFrame,
     kind: str,
     range: str,
@@ -102,22 +77,48 @@ def top_list(
     offset: int = 0,
     filter: str = "all",
     as_of: datetime | None = None,
-) -> Page:
-    """Ranked names with columns ``name, count, blocked, percentage``.
+) -> DataFrame:
+    """One frame with a page's rows and, in every row, the totals over all pages.
 
-    With ``filter="blocked"`` percentages are of the blocked rows. The totals
-    frame is independent of the page: past the end it still tells the number of
-    groups.
+    Past the end there is one row, of totals alone. Page and totals read the same
+    exchange of the grouped log, so a page costs one pass; a deep one is located by
+    passes over the log before.
     """
     check_choice("kind", kind, LIST_KINDS)
     check_page(limit, offset)
     kept = where_all(log, [in_range(log, range, as_of), *blocked_only(filter)])
     grouped = grouped_counts(kept, _KINDS[kind][0])
-    if not is_top_k(limit, offset):
-        grouped = written(grouped)  # read several times to find the page
-    page = _with_share(_rank_page(grouped, limit, offset), grouped)
-    items = page.select("name", "count", "blocked", "percentage").orderBy(*rank_order())
-    return Page(items, group_totals(grouped))
+    page = _rank_page(grouped, limit, offset)
+    share = percentage(F.col("count"), F.col("total_queries"))
+    both = F.broadcast(group_totals(grouped)).join(page, F.lit(True), "left")
+    return both.select("name", "count", "blocked", share.alias("percentage"), *_TOTALS)
+
+
+def top_list(
+    log: DataFrame,
+    kind: str,
+    range: str,
+    limit: int = LIST_PAGE_DEFAULT,
+    offset: int = 0,
+    filter: str = "all",
+    as_of: datetime | None = None,
+) -> Page:
+    """Ranked names with columns ``name, count, blocked, percentage``, and totals.
+
+    With ``filter="blocked"`` percentages are of the blocked rows. Past the end the
+    totals still tell the number of groups. The page, at most a hundred rows, and its
+    totals are computed together when this is called, so they always agree;
+    :func:`top_list_rows` is the same as one frame, computed when it is read.
+    """
+    spark = log.sparkSession
+    frame = top_list_rows(log, kind, range, limit, offset, filter, as_of)
+    rows = frame.collect()
+    names = [c for c in frame.columns if c not in _TOTALS]
+    items = spark.createDataFrame(
+        [tuple(r[c] for c in names) for r in rows if r["name"] is not None], frame.select(*names).schema
+    )
+    totals = spark.createDataFrame([tuple(rows[0][c] for c in _TOTALS)], frame.select(*_TOTALS).schema)
+    return Page(items.orderBy(*rank_order()), totals)
 
 
 def _renamed(page: Page, kind: str) -> Page:

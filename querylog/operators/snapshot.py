@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from querylog.functions.display import percentage
 from querylog.functions.predicates import in_range, is_type
-from querylog.operators.paging import top_page
-from querylog.operators.ranking import grouped_counts, rank_order
+from querylog.operators.ranking import rank_order
+from querylog.schema import UNKNOWN
 
-# Fixed value: entries shown per snapshot list.
+# Fixed value: entries per list that is made from the log.
 LIST_LENGTH = 5
 
 
@@ -48,31 +48,44 @@ def overview_24h(log: DataFrame, as_of: datetime | None = None) -> DataFrame:
 def snapshot_top_lists(log: DataFrame, as_of: datetime | None = None) -> DataFrame:
     """``list, name, count``: top domains, blocked domains and clients of 24 h.
 
-    Both domain lists come from one grouped frame. Its rows are filtered on both
-    counts in either list, so the two reads share a single exchange.
+    One pass: each row gives its domain and its client, which are counted together,
+    and each list takes its first entries from those counts.
     """
     kept = log.where(in_range(log, "24h", as_of))
-    domains = grouped_counts(kept, "question_name").where(F.col("count") >= F.col("blocked"))
-    blocked = domains.where(F.col("blocked") > 0).select("name", F.col("blocked").alias("count"))
-    clients = grouped_counts(kept, "client_name")
-    lists = {"domains": domains, "blocked_domains": blocked, "clients": clients}
-    parts = [
-        top_page(rows, rank_order(), LIST_LENGTH, 0).select(
-            F.lit(name).alias("list"), "name", "count"
+    names = F.inline(
+        F.array(
+            *(
+                F.struct(F.lit(kind).alias("kind"), F.coalesce(F.col(column), F.lit(UNKNOWN)).alias("name"))
+                for kind, column in (("domains", "question_name"), ("clients", "client_name"))
+            )
+        )
+    )
+    counts = kept.select("response_type", names).groupBy("kind", "name").agg(
+        F.count("*").alias("n"), F.count_if(is_type("BLOCKED")).alias("blocked")
+    )
+    lists = F.inline(
+        F.array(
+            F.struct(F.col("kind").alias("list"), F.col("n").alias("count")),
+            F.struct(
+                F.when(F.col("kind") == "domains", "blocked_domains").alias("list"),
+                F.col("blocked").alias("count"),
+            ),
         )
-        for name, rows in lists.items()
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    )
+    entries = counts.select("name", lists).where(F.col("list").isNotNull() & (F.col("count") > 0))
+    place = F.row_number().over(Window.partitionBy("list").orderBy(*rank_order()))
+    return entries.withColumn("place", place).where(F.col("place") <= LIST_LENGTH).select("list", "name", "count")
 
 
 def _sum_values(counts: str):
-    return F.aggregate(F.map_values(counts), F.lit(0).cast("long"), lambda a, b: a + b)
+    return F.aggregate(F.map_values(counts), F.lit(0.0), lambda a, b: a + b)
 
 
 def snapshot_overview(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     """Replace the parsed ``payload`` column by the overview figures.
 
-    Rows whose payload was malformed stay, with null figures.
+    Rows whose payload was malformed stay, with null figures. Counts are doubles, as
+    payloads may hold any number.
     """
     p = payload + "."
     keep = [c for c in payloads.columns if c != payload]
@@ -95,9 +108,12 @@ def snapshot_overview(payloads: DataFrame, payload: str = "payload") -> DataFram
 
 
 def payload_top_lists(
-    payloads: DataFrame, payload: str = "payload", length: int | None = LIST_LENGTH
+    payloads: DataFrame, payload: str = "payload", length: int | None = None
 ) -> DataFrame:
-    """The payload's own ranked lists as rows ``list, position, name, count``."""
+    """The payload's own ranked lists as rows ``list, position, name, count``.
+
+    Lists are whole unless ``length`` cuts them.
+    """
     keep = [c for c in payloads.columns if c != payload]
     p = payload + "."
     lists = {

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from querylog.functions import answers, display, predicates
 from querylog.operators import logs, ranking, snapshot, timeseries
-from querylog.operators.paging import written
 from querylog.plans.fixture import FIXTURE_SQL, fixture_log
 from querylog.schema import LOG_COLUMNS
 from querylog.sinks.tsv import tsv_lines
@@ -138,8 +137,7 @@ def _raw_lines(spark, sf_dir) -> DataFrame:
         .when(F.split(line, "\t")[3] == "", F.concat(line, F.lit("\textra")))
         .otherwise(line)
     )
-    # Written, as logs are: what makes the lines is no part of parsing them.
-    return written(tsv_lines(dirty, fraction=True).select(broken.alias("value")))
+    return tsv_lines(dirty).select(broken.alias("value"))
 
 
 @register(
@@ -168,7 +166,7 @@ def rejected_lines(spark, sf_dir):
 @register(
     """SELECT strftime(request_ts, '%Y-%m-%d') AS log_date,
 regexp_replace(coalesce(client_name, ''), '[^a-zA-Z0-9_-]', '_', 'g') AS client_key,
-concat_ws(chr(9), strftime(request_ts, '%Y-%m-%d %H:%M:%S'), client_ip, coalesce(client_name, ''),
+concat_ws(chr(9), strftime(request_ts, '%Y-%m-%d %H:%M:%S.%f'), client_ip, coalesce(client_name, ''),
 coalesce(CAST(duration_ms AS VARCHAR), ''), reason, coalesce(question_name, ''), answer,
 response_code, response_type, question_type, hostname) AS line FROM log"""
 )
@@ -199,7 +197,7 @@ def parse_jsonl_logs(spark, sf_dir):
         "response_type",
         "question_type",
     )
-    rows = parse_jsonl_lines(written(log.select(F.to_json(record).alias("value"))))
+    rows = parse_jsonl_lines(log.select(F.to_json(record).alias("value")))
     return rows.withColumn("request_ts", F.col("request_ts").cast("timestamp_ntz"))
 
 
@@ -309,6 +307,22 @@ def top_clients(spark, sf_dir):
     return ranking.top_clients(_log(spark, sf_dir, *_CLIENT), "30d", as_of=AS_OF).items
 
 
+@register(_ranked_sql("client", "total", 10, 100), *_grouped_sql("client_name", "30d"))
+def top_clients_deep_page(spark, sf_dir):
+    log = _log(spark, sf_dir, *_CLIENT)
+    return ranking.top_clients(log, "30d", offset=100, as_of=AS_OF).items
+
+
+@register(
+    "SELECT t.*, name, n, b, CAST(n AS DOUBLE) / CAST(total_queries AS DOUBLE) * 100 AS percentage "
+    "FROM t LEFT JOIN (SELECT * FROM g ORDER BY n DESC, lower(name), name LIMIT 10) ON true",
+    *_grouped_sql("question_name", "30d"),
+)
+def top_domains_with_totals(spark, sf_dir):
+    rows = ranking.top_list_rows(_log(spark, sf_dir, *_DOMAIN), "domains", "30d", as_of=AS_OF)
+    return rows.withColumnsRenamed({"count": "n", "blocked": "b"})
+
+
 @register(_ranked_sql("client", "total", 10, 5), *_grouped_sql("client_name", "30d", True))
 def top_clients_blocked(spark, sf_dir):
     log = _log(spark, sf_dir, *_CLIENT)
@@ -640,8 +654,8 @@ def _payloads(spark, sf_dir) -> DataFrame:
         F.struct(
             F.col("n").alias("queries"),
             "blocked",
-            F.lit(0).alias("dropped"),
-            F.lit(0).alias("errors"),
+            F.lit(200.5).alias("dropped"),
+            F.lit(7.0).alias("errors"),
             F.col("ms").alias("avgResponseMs"),
             (F.col("cached") / F.col("n")).alias("cacheHitRate"),
         ).alias("summary"),
@@ -657,10 +671,7 @@ def _payloads(spark, sf_dir) -> DataFrame:
         F.when(F.col("cached") > 0, F.struct(F.col("cached").alias("entries"))).alias("cache"),
         F.lit("ignored").alias("start"),
     )
-    # Written, as payloads are: what makes them is no part of parsing them.
-    return parse_payloads(
-        written(figures.select("day", "client_ip", F.to_json(document).alias("value")))
-    )
+    return parse_payloads(figures.select("day", "client_ip", F.to_json(document).alias("value")))
 
 
 _FIGURES_SQL = f"""f AS (SELECT strftime(request_ts, '%Y-%m-%d') AS day, client_ip, count(*) AS n,
@@ -672,15 +683,15 @@ FROM log GROUP BY 1, 2)"""
 
 
 @register(
-    """SELECT day, client_ip, CASE WHEN ok THEN n END AS total_queries,
-CASE WHEN ok THEN blocked END AS blocked, CASE WHEN ok THEN CAST(0 AS BIGINT) END AS dropped,
-CASE WHEN ok THEN CAST(0 AS BIGINT) END AS errors,
+    """SELECT day, client_ip, CASE WHEN ok THEN CAST(n AS DOUBLE) END AS total_queries,
+CASE WHEN ok THEN CAST(blocked AS DOUBLE) END AS blocked, CASE WHEN ok THEN CAST(200.5 AS DOUBLE) END AS dropped,
+CASE WHEN ok THEN CAST(7 AS DOUBLE) END AS errors,
 CASE WHEN ok THEN CAST(blocked AS DOUBLE) / CAST(n AS DOUBLE) * 100 END AS blocked_percentage,
 CASE WHEN ok THEN CAST(cached AS DOUBLE) / CAST(n AS DOUBLE) * 100 END AS cache_hit_rate,
-CASE WHEN ok THEN ads + tracking END AS listed_domains,
-CASE WHEN ok THEN ms END AS avg_response_ms, CASE WHEN ok THEN cached END AS cache_entries,
+CASE WHEN ok THEN CAST(ads + tracking AS DOUBLE) END AS listed_domains,
+CASE WHEN ok THEN ms END AS avg_response_ms, CASE WHEN ok THEN CAST(cached AS DOUBLE) END AS cache_entries,
 CASE WHEN ok THEN CAST(2 AS INTEGER) END AS denylist_groups,
-CASE WHEN ok THEN cached END AS allowlist_domains FROM (SELECT *, cached > 0 AS ok FROM f)""",
+CASE WHEN ok THEN CAST(cached AS DOUBLE) END AS allowlist_domains FROM (SELECT *, cached > 0 AS ok FROM f)""",
     _FIGURES_SQL,
 )
 def statistics_snapshot(spark, sf_dir):
@@ -688,9 +699,9 @@ def statistics_snapshot(spark, sf_dir):
 
 
 @register(
-    """SELECT day, client_ip, list, CAST(position AS INTEGER) AS position, name, count FROM (
-SELECT *, row_number() OVER (PARTITION BY day, client_ip, list ORDER BY count DESC, name) AS position
-FROM e) WHERE position <= 5""",
+    """SELECT day, client_ip, list, CAST(row_number() OVER (
+PARTITION BY day, client_ip, list ORDER BY count DESC, name) AS INTEGER) AS position, name,
+CAST(count AS DOUBLE) AS count FROM e""",
     _FIGURES_SQL,
     "e AS ("
     + " UNION ALL ".join(

@@ -25,10 +25,10 @@ def client_key(client_name: Column) -> Column:
     return F.regexp_replace(joined, "[^a-zA-Z0-9_-]", "_")
 
 
-def tsv_lines(log: DataFrame, per_client: bool = False, fraction: bool = False) -> DataFrame:
+def tsv_lines(log: DataFrame, per_client: bool = False, fraction: bool = True) -> DataFrame:
     """``log_date, client_key, request_ts, line`` per log row.
 
-    Timestamps are UTC without a zone, to the second unless ``fraction``. Line
+    Timestamps are UTC without a zone; without ``fraction`` they are cut to seconds. Line
     breaks and tabs inside a value become spaces, as they would break the line.
     """
     shown = TIMESTAMP_FORMAT + (".SSSSSS" if fraction else "")
@@ -46,11 +46,13 @@ def write_tsv(
     log: DataFrame,
     path: str,
     per_client: bool = False,
-    fraction: bool = False,
+    fraction: bool = True,
     mode: str = "errorifexists",
 ) -> None:
     """Write ``path/log_date=…/client_key=…/part-*.txt``, each file in time order.
 
+    The readers of tab-separated logs take such a path as it is, by date too.
+
     Rebalancing evens out the work: small clients share tasks, and a client that
     holds much of a day is split over several tasks and so over several files.
     """

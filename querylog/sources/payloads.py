@@ -6,21 +6,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The payload's fields. Others are ignored.
+# The payload's fields. Others are ignored. Numbers of any form are valid.
 _COUNTED = T.ArrayType(
-    T.StructType([T.StructField("name", T.StringType()), T.StructField("count", T.LongType())])
+    T.StructType([T.StructField("name", T.StringType()), T.StructField("count", T.DoubleType())])
 )
-_SIZES = T.MapType(T.StringType(), T.LongType())
+_SIZES = T.MapType(T.StringType(), T.DoubleType())
 PAYLOAD_SCHEMA = T.StructType(
     [
         T.StructField(
             "summary",
             T.StructType(
                 [
-                    T.StructField("queries", T.LongType()),
-                    T.StructField("blocked", T.LongType()),
-                    T.StructField("dropped", T.LongType()),
-                    T.StructField("errors", T.LongType()),
+                    T.StructField("queries", T.DoubleType()),
+                    T.StructField("blocked", T.DoubleType()),
+                    T.StructField("dropped", T.DoubleType()),
+                    T.StructField("errors", T.DoubleType()),
                     T.StructField("avgResponseMs", T.DoubleType()),
                     T.StructField("cacheHitRate", T.DoubleType()),
                 ]
@@ -33,7 +33,7 @@ PAYLOAD_SCHEMA = T.StructType(
             "lists",
             T.StructType([T.StructField("denylist", _SIZES), T.StructField("allowlist", _SIZES)]),
         ),
-        T.StructField("cache", T.StructType([T.StructField("entries", T.LongType())])),
+        T.StructField("cache", T.StructType([T.StructField("entries", T.DoubleType())])),
     ]
 )
 

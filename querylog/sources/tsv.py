@@ -25,6 +25,9 @@ TSV_FIELDS = (
 LOG_FILES = "*.log"
 CLIENT_LOG_FILES = "[0-9][0-9][0-9][0-9]-[0-9][0-9]-[0-9][0-9]_?*.log"
 _FILE_DATE = r"([0-9]{4}-[0-9]{2}-[0-9]{2})_[^/]+\.log$"
+# The layout that the writer makes: a directory per date, one per client inside.
+_WRITTEN_FILES = "part-*"
+_WRITTEN_DATE = r"/log_date=([0-9]{4}-[0-9]{2}-[0-9]{2})/"
 _NON_SPACE = f"[^{SPACES}]"
 _ZONED = r"(?:[A-Za-z]|\d[+-]\d{1,2}(?::?\d{2})?)\s*$"
 _MINUTES = r"[ T]\d{1,2}:\d{1,2}\s*$"
@@ -124,6 +127,26 @@ def latest_date(spark: SparkSession, directory: str, glob: str = CLIENT_LOG_FILE
     return list_files(spark, directory, glob).agg(F.max(date).alias("date")).first()["date"]
 
 
+def _is_written(spark: SparkSession, directory: str) -> bool:
+    """Whether a directory has the layout of the writer, seen from its first level."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{directory.rstrip('/')}/log_date=*")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return found is not None and len(found) > 0
+
+
+def _written_lines(spark: SparkSession, directory: str, latest_only: bool) -> DataFrame:
+    """Lines that the writer wrote; ``latest_only`` keeps the latest date's directory."""
+    reader = spark.read.option("pathGlobFilter", _WRITTEN_FILES).option("recursiveFileLookup", True)
+    if latest_only:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", _WRITTEN_FILES)
+        dates = files.option("recursiveFileLookup", True).load(directory).select("path")
+        latest = dates.agg(F.max(F.regexp_extract("path", _WRITTEN_DATE, 1)).alias("date")).first()
+        if latest["date"]:
+            directory = f"{directory.rstrip('/')}/log_date={latest['date']}"
+    return reader.text(directory).select("value")
+
+
 def read_tsv_lines(
     spark: SparkSession,
     directory: str,
@@ -136,7 +159,12 @@ def read_tsv_lines(
     All files are read by default. ``latest_only`` keeps the file modified last,
     or with ``per_client`` all files of the latest date in the file names; only
     that one path or date passes through the driver. A missing directory raises.
+
+    A directory that ``write_tsv`` wrote is recognised; ``latest_only`` then keeps its
+    latest date. ``glob`` names other files and turns that off.
     """
+    if glob is None and _is_written(spark, directory):
+        return _written_lines(spark, directory, latest_only)
     glob = glob or (CLIENT_LOG_FILES if per_client else LOG_FILES)
     reader = spark.read.option("pathGlobFilter", glob)
     if not latest_only:

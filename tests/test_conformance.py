@@ -6,7 +6,7 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
-from seed import AS_OF, seed_rows
+from seed import AS_OF, containing, of_kind, ranked, seed_rows, within
 
 from querylog import QueryLog, write_table
 from querylog.schema import TIME_RANGES
@@ -67,98 +67,83 @@ def _tuples(frame):
     return [tuple(r) for r in frame.collect()]
 
 
+ALL = seed_rows()
+N = len(ALL)
+
+
 def test_log_pages(log):
     page = log.query_logs(limit=100)
     items = page.items.collect()
-    assert page.totals.first()["total_count"] == len(items) == 45
+    assert page.totals.first()["total_count"] == len(items) == N
     times = [r["request_ts"] for r in items]
     assert times == sorted(times, reverse=True)
     first, second = log.query_logs(limit=2), log.query_logs(limit=2, offset=2)
     assert [r["request_ts"] for r in first.items.collect() + second.items.collect()] == times[:4]
-    past = log.query_logs(limit=10, offset=60)
-    assert past.items.count() == 0 and past.totals.first()["total_count"] == 45
+    past = log.query_logs(limit=10, offset=N + 15)
+    assert past.items.count() == 0 and past.totals.first()["total_count"] == N
 
 
 @pytest.mark.parametrize(
     "filters, expected",
     [
-        ({"response_type": "BLOCKED"}, 8),
-        ({"response_type": "CACHED"}, 7),
-        ({"client": "phone"}, 11),
-        ({"question_type": "AAAA"}, 8),
-        ({"question_type": "MX"}, 0),
-        ({"search": "github"}, 7),
-        ({"search": "unknown"}, 0),
-        ({"client": "unknown"}, 0),
-        ({"response_type": "BLOCKED", "client": "Phone"}, 4),
-        ({"search": "", "client": None}, 45),
+        ({"response_type": "BLOCKED"}, of_kind(ALL, "BLOCKED")),
+        ({"response_type": "CACHED"}, of_kind(ALL, "CACHED")),
+        ({"client": "desk"}, containing(ALL, "client_name", "desk")),
+        ({"question_type": "AAAA"}, [r for r in ALL if r["question_type"] == "AAAA"]),
+        ({"question_type": "MX"}, []),
+        ({"search": "MAIL"}, containing(ALL, "question_name", "mail")),
+        ({"search": "unknown"}, []),
+        ({"client": "unknown"}, []),
+        ({"search": "%"}, []),
+        ({"search": "m_il"}, []),
+        ({"response_type": "BLOCKED", "client": "TABLET"}, of_kind(containing(ALL, "client_name", "tablet"), "BLOCKED")),
+        ({"search": "", "client": None}, ALL),
     ],
 )
 def test_log_filters(log, filters, expected):
     page = log.query_logs(limit=100, **filters)
-    assert page.totals.first()["total_count"] == expected
-    assert page.items.count() == expected
+    assert page.totals.first()["total_count"] == len(expected)
+    assert page.items.count() == len(expected)
 
 
 def test_stats(log):
-    assert log.stats_24h().first().asDict() == {"total_queries": 20, "blocked": 3}
+    day = within("24h")
+    assert log.stats_24h().first().asDict() == {"total_queries": len(day), "blocked": len(of_kind(day, "BLOCKED"))}
 
 
-@pytest.mark.parametrize(
-    "range, total, blocked, cached, google, laptop",
-    [
-        ("1h", 8, 1, 2, 4, 5),
-        ("24h", 20, 3, 4, 8, 10),
-        ("7d", 32, 5, 5, 12, 17),
-        ("30d", 42, 7, 7, 16, 22),
-    ],
-)
-def test_series_sums(log, range, total, blocked, cached, google, laptop):
+@pytest.mark.parametrize("range", ["1h", "24h", "7d", "30d"])
+def test_series_sums(log, range):
+    rows = within(range)
+    counts = (len(rows), len(of_kind(rows, "BLOCKED")), len(of_kind(rows, "CACHED")))
     sums = [F.sum(c) for c in ("total", "blocked", "cached")]
     buckets = TIME_RANGES[range].buckets
     for mode, n in (("aligned", buckets + 1), ("anchored", buckets)):
         series = log.queries_over_time(range, mode=mode)
-        assert _tuples(series.agg(F.count("*"), *sums)) == [(n, total, blocked, cached)]
-    domain = log.queries_over_time(range, domain="Google").agg(F.sum("total"))
-    client = log.queries_over_time(range, client="LAPTOP").agg(F.sum("total"))
-    assert (domain.first()[0], client.first()[0]) == (google, laptop)
+        assert _tuples(series.agg(F.count("*"), *sums)) == [(n, *counts)]
+    domain = log.queries_over_time(range, domain="Wiki").agg(F.sum("total"))
+    client = log.queries_over_time(range, client="TABLET").agg(F.sum("total"))
+    assert domain.first()[0] == len(containing(rows, "question_name", "wiki"))
+    assert client.first()[0] == len(containing(rows, "client_name", "tablet"))
 
 
 def _rounded(frame):
     return [(*r[:-1], round(r[-1], 3)) for r in _tuples(frame)]
 
 
-def test_top_domains(log):
-    page = log.top_domains("30d", limit=100)
-    assert _rounded(page.items) == [
-        ("google.com", 16, 0, 38.095),
-        ("blocked-site.com", 7, 7, 16.667),
-        ("GitHub.com", 7, 0, 16.667),
-        ("example.org", 6, 0, 14.286),
-        ("unknown", 4, 0, 9.524),
-        ("rare-domain.net", 2, 0, 4.762),
-    ]
-    assert page.totals.first()["total_count"] == 6
-    blocked = log.top_domains("30d", filter="blocked")
-    assert _rounded(blocked.items) == [("blocked-site.com", 7, 7, 100.0)]
-    assert blocked.totals.first()["total_count"] == 1
-
-
-def test_top_clients(log):
-    page = log.top_clients("30d", limit=100)
-    assert _rounded(page.items) == [
-        ("laptop", 22, 2, 52.381),
-        ("Phone", 10, 3, 23.81),
-        ("server-01", 7, 2, 16.667),
-        ("unknown", 3, 0, 7.143),
-    ]
-    assert page.totals.first()["total_count"] == 4
-    blocked = log.top_clients("30d", filter="blocked")
-    assert _rounded(blocked.items) == [
-        ("Phone", 3, 3, 42.857),
-        ("laptop", 2, 2, 28.571),
-        ("server-01", 2, 2, 28.571),
-    ]
+@pytest.mark.parametrize("kind, column", [("domains", "question_name"), ("clients", "client_name")])
+def test_top_lists(log, kind, column):
+    rows = within("30d")
+    page = log.top_list(kind, "30d", limit=100)
+    assert _rounded(page.items) == ranked(rows, column)
+    assert _tuples(page.totals) == [(len(ranked(rows, column)), len(rows), len(of_kind(rows, "BLOCKED")))]
+    blocked = log.top_list(kind, "30d", filter="blocked")
+    assert _rounded(blocked.items) == ranked(of_kind(rows, "BLOCKED"), column)[:10]
+    assert blocked.totals.first()["total_count"] == len(ranked(of_kind(rows, "BLOCKED"), column))
+
+
+def test_top_list_names(log):
+    assert log.top_domains("30d").items.columns == ["domain", "count", "blocked", "percentage"]
+    assert log.top_clients("30d").items.columns == ["client", "total", "blocked", "percentage"]
 
 
 def test_top_list_pages(log):
@@ -167,32 +152,36 @@ def test_top_list_pages(log):
     assert [row for page in pages for row in _tuples(page.items)] == whole
     past = log.top_list("domains", "30d", limit=10, offset=16)
     assert past.items.count() == 0
-    assert past.totals.first()["total_count"] == 6
+    assert past.totals.first()["total_count"] == len(whole)
 
 
 def test_query_types(log):
-    assert _rounded(log.query_types_breakdown("30d")) == [
-        ("A", 31, 73.81),
-        ("AAAA", 7, 16.667),
-        ("CNAME", 4, 9.524),
-    ]
+    rows = within("30d")
+    expected = ranked([{**r, "response_type": None} for r in rows], "question_type")
+    assert _rounded(log.query_types_breakdown("30d")) == [(name, n, share) for name, n, _, share in expected]
 
 
 def test_search(log):
-    assert _tuples(log.search_domains("30d", "GITHUB")) == [("GitHub.com", 7)]
-    assert _tuples(log.search_domains("30d", "google.com")) == [("google.com", 16)]
-    assert log.search_domains("30d", "o", limit=2).count() == 2
-    assert _tuples(log.search_clients("30d", "PHONE")) == [("Phone", 10)]
-    assert _tuples(log.search_clients("30d", "lap")) == [("laptop", 22)]
-    assert _tuples(log.search_clients("30d", "e", limit=1)) == [("Phone", 10)]
+    rows = within("30d")
+
+    def found(column, text, limit=10):
+        return [r[:2] for r in ranked(containing(rows, column, text), column)][:limit]
+
+    assert _tuples(log.search_domains("30d", "EXAMPLE")) == found("question_name", "example")
+    assert _tuples(log.search_domains("30d", "cdn.test")) == found("question_name", "cdn.test")
+    assert _tuples(log.search_domains("30d", "e", limit=2)) == found("question_name", "e", 2)
+    assert _tuples(log.search_clients("30d", "DESK")) == found("client_name", "desk")
+    assert _tuples(log.search_clients("30d", "t", limit=1)) == found("client_name", "t", 1)
     for blank in ("", "  "):
         assert log.search_domains("30d", blank).count() == 0
         assert log.search_clients("30d", blank).count() == 0
 
 
 def test_suggestions(log):
-    assert _tuples(log.suggestions(range="30d"))[:2] == [
-        ("domain", "google.com", 16),
-        ("domain", "blocked-site.com", 7),
-    ]
-    assert _tuples(log.suggestions("o", range="30d"))[-1] == ("client", "Phone", 10)
+    rows = within("30d")
+    top = [("domain", *r[:2]) for r in ranked(rows, "question_name")[:5]]
+    top += [("client", *r[:2]) for r in ranked(rows, "client_name")[:5]]
+    assert _tuples(log.suggestions(range="30d")) == top
+    typed = [("domain", *r[:2]) for r in ranked(containing(rows, "question_name", "t"), "question_name")]
+    typed += [("client", *r[:2]) for r in ranked(containing(rows, "client_name", "t"), "client_name")]
+    assert _tuples(log.suggestions("t", range="30d")) == typed

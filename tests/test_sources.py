@@ -126,10 +126,13 @@ def test_directory_without_logs(spark, tmp_path):
 
 
 def test_newest_file(spark, tmp_path):
-    _write(tmp_path / "zzz-old.log", _line(question_name="old"), age=100)
-    _write(tmp_path / "aaa-new.log", _line(question_name="new"))
-    assert _domains(read_tsv(spark, str(tmp_path), latest_only=True)) == ["new"]
-    assert _domains(read_tsv(spark, str(tmp_path))) == ["new", "old"]
+    for age, name in ((300, "march.log"), (100, "april.log"), (500, "may.log")):
+        _write(tmp_path / name, _line(question_name=name), age=age)
+    assert _domains(read_tsv(spark, str(tmp_path), latest_only=True)) == ["april.log"]
+    assert len(_domains(read_tsv(spark, str(tmp_path)))) == 3
+    _write(tmp_path / "june.log", _line(question_name="june.log"), age=100)  # a tie: one of the two
+    latest = _domains(read_tsv(spark, str(tmp_path), latest_only=True))
+    assert latest in (["april.log"], ["june.log"])
 
 
 def test_latest_date(spark, tmp_path):
@@ -248,19 +251,25 @@ def test_database_rows(spark):
 
 
 def test_tsv_round_trip(spark, seed_log, tmp_path):
-    write_tsv(seed_log, f"{tmp_path}/all", fraction=True)
+    write_tsv(seed_log, f"{tmp_path}/all")
     write_tsv(seed_log, f"{tmp_path}/split", per_client=True)
     expected = sorted(map(str, seed_log.collect()))
     for name in ("all", "split"):
-        back = read_tsv(spark, f"{tmp_path}/{name}", glob="*.txt")
+        back = read_tsv(spark, f"{tmp_path}/{name}")
         assert sorted(map(str, back.collect())) == expected
     keys = {p.name for p in Path(tmp_path, "split").glob("*/*")}
     assert keys == {
-        "client_key=laptop",
-        "client_key=Phone",
-        "client_key=server-01",
+        "client_key=tablet",
+        "client_key=Desk-2",
+        "client_key=tv",
         "client_key=__HIVE_DEFAULT_PARTITION__",
     }
+    last = seed_log.agg(F.max(F.to_date("request_ts"))).first()[0]
+    newest = seed_log.where(F.to_date("request_ts") == F.lit(last)).count()
+    for kind, name in (("csv", "all"), ("csv-client", "split")):
+        assert read_query_log(spark, kind, f"{tmp_path}/{name}").count() == len(expected)
+        latest = read_query_log(spark, kind, f"{tmp_path}/{name}", latest_only=True)
+        assert latest.count() == newest
     files = list(Path(tmp_path, "split").glob("*/*/*.txt"))
     for file in files:
         lines = file.read_text().splitlines()
@@ -270,7 +279,7 @@ def test_tsv_round_trip(spark, seed_log, tmp_path):
 def test_tsv_values_stay_on_their_line(spark, seed_log, tmp_path):
     dirty = seed_log.limit(1).withColumn("answer", F.lit("a\tb\nc"))
     write_tsv(dirty, f"{tmp_path}/t")
-    assert read_tsv(spark, f"{tmp_path}/t", glob="*.txt").first()["answer"] == "a b c"
+    assert read_tsv(spark, f"{tmp_path}/t").first()["answer"] == "a b c"
 
 
 def test_client_with_most_rows_is_split(spark, tmp_path):
@@ -298,7 +307,7 @@ def test_client_with_most_rows_is_split(spark, tmp_path):
     finally:
         spark.conf.unset(key)
     assert len(list(Path(tmp_path).glob("t/*/client_key=hot/*.txt"))) > 2
-    assert read_tsv(spark, f"{tmp_path}/t", glob="*.txt").count() == n
+    assert read_tsv(spark, f"{tmp_path}/t").count() == n
 
 
 @pytest.mark.parametrize("rebalance", [True, False])
@@ -306,7 +315,7 @@ def test_table_prunes_dates(spark, seed_log, tmp_path, rebalance):
     undated = seed_log.limit(1).withColumn("request_ts", F.lit(None).cast("timestamp"))
     write_table(seed_log.unionByName(undated), f"{tmp_path}/t", rebalance=rebalance)
     log = read_query_log(spark, "table", f"{tmp_path}/t")
-    assert log.count() == 46
+    assert log.count() == len(seed_rows()) + 1
     recent = log.where(in_range(log, "24h", AS_OF))
     assert recent.count() == 20
     plan = recent._jdf.queryExecution().executedPlan().toString()
@@ -329,7 +338,7 @@ def test_payload_files(spark, tmp_path):
 
 
 def test_seed_rows_are_complete():
-    assert len(seed_rows()) == 45
+    assert len(seed_rows()) == 55
 
 
 @pytest.mark.parametrize("options", [{}, {"since": AS_OF}, {"start": AS_OF, "end": AS_OF}])
