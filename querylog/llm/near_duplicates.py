@@ -56,7 +56,7 @@ class Sketching:
     rows: int = 6
     seed: int = 1
     turns: int = 6
-    block: int = 1024
+    block: int = 512
 
     @property
     def coordinates(self) -> int:
