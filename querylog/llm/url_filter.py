@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -55,7 +56,7 @@ def digest_file(rules: Iterable[tuple[str, str]], folder: str) -> str:
         np.array([digests[k] for k in keys], np.uint64).tobytes(), ends.tobytes(),
         bytes(verdicts[k] for k in keys), b"".join(keys), json.dumps(lengths).encode(),
     ]
-    name = f"url-rules-{xxhash.xxh3_128_hexdigest(b'|'.join(parts))}.bin"
+    name = f"url-rules-{uuid.uuid4().hex}.bin"  # Spark knows a dealt file by its name alone
     with open(os.path.join(folder, name), "wb") as out:
         out.write(np.array([len(p) for p in parts] + [0] * (_MAGIC - len(parts)), np.int64).tobytes())
         for part in parts:
