@@ -11,20 +11,34 @@ from pyspark.sql import functions as F
 
 
 def dealt_in_blocks(entries: DataFrame, size: int) -> DataFrame:
-    """Deal the members of every bucket into pairs of blocks of about ``size``.
-
-    A bucket that fits one block is one group. A larger one is cut by hash, and each
-    member goes to every pair of blocks that its own is in: groups stay bounded
-    however large a bucket is. Adds ``block``, ``bi`` and ``bj``, and lays the rows
-    of a group next to each other.
+    """Deal the members of every bucket into groups that meet all pairs to compare.
+
+    A bucket of at most ``size`` members is one group. In a larger one the members of
+    the component that has most of them need not meet each other: they and the others
+    are cut by hash into blocks of about ``size``, the others go to every pair of blocks
+    that their own is in, and the members of the large component only to those with a
+    block of others. Groups stay bounded however large a bucket is, and what settled
+    members cost does not grow by the square of their number. Adds ``block``, ``bi`` and
+    ``bj``, and lays the rows of a group next to each other.
     """
-    counts = entries.groupBy("bucket").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("class", F.lit(5)), F.col("blocks")).cast("int")
+    by_label = entries.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    counts = by_label.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most"))
+    blocks = lambda n: F.ceil(n / size).cast("int")
+    fits = F.col("n") <= size
+    counts = counts.select(
+        "bucket", F.col("most.label").alias("settled"),
+        F.when(fits, 0).otherwise(blocks(F.col("most.n"))).alias("first"),
+        F.when(fits, 1).otherwise(F.greatest(F.lit(1), blocks(F.col("n") - F.col("most.n")))).alias("open"),
+    )
+    settled = (F.col("label") == F.col("settled")) & (F.col("first") > 0)
+    dealt = F.xxhash64("class", F.lit(5))
+    block = F.when(settled, F.pmod(dealt, F.greatest("first", F.lit(1)))).otherwise(F.col("first") + F.pmod(dealt, "open")).cast("int")
+    lowest = F.when(settled, F.col("first")).otherwise(0)
     return regrouped(
         entries.join(counts, "bucket").withColumn("block", block)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("other", F.explode(F.sequence(lowest, F.col("first") + F.col("open") - 1)))
         .withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
-        .drop("blocks", "other")
+        .drop("first", "open", "settled", "other")
     )
 
 

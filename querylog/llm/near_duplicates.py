@@ -13,11 +13,12 @@ inside a bucket: first, in rounds, every class meets one leader of its buckets,
 confirmed links merge components. Then only buckets that hold more than one component
 are left. Their members are compared across components, inside tasks, in blocks of
 bounded size, each pair in the first band that it shares: first by sketch, then, for
-what can still be a link, on full sets. A block gives out no more links than connect
-its members. Every link is confirmed on full sets, made again from whole texts.
+what can still be a link, on full sets. Members of a bucket's largest component do not
+meet each other there. A block gives out no more links than connect its members. Every
+link is confirmed on full sets, made again from whole texts.
 
 Classes by the thousand that are all about as similar as the threshold, without being
-linked, take comparisons by the square of their number; nothing else does.
+linked, take comparisons by their number times that of the bucket; nothing else does.
 """
 
 from __future__ import annotations

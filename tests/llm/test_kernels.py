@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from querylog.llm.blocks import shared_counts, spanning
+from querylog.llm.blocks import compared, dealt_in_blocks, shared_counts, spanning
 from querylog.llm.components import component_labels
 from querylog.llm.importance import kth_largest
 from querylog.llm.licences import BASE, rules
@@ -62,6 +62,26 @@ def test_blocks_count_all_intersections():
     assert spanning(np.array([[0, 1, 1], [0, 0, 1], [0, 0, 0]], bool)) == [(0, 1), (0, 2)]
 
 
+def test_blocks_meet_every_pair_across_components(spark):
+    rows = [(1, f"c{i}", "big" if i < 70 else f"l{i % 40}") for i in range(110)]
+    rows += [(2, f"c{i}", f"c{i}") for i in range(25)] + [(3, f"c{i}", "ab"[i % 2]) for i in range(10)]
+    entries = spark.createDataFrame(rows, "bucket long, class string, label string")
+    met, sizes = Counter(), Counter()
+    groups = {}
+    for r in dealt_in_blocks(entries, 10).collect():
+        groups.setdefault((r["bucket"], r["bi"], r["bj"]), []).append(r)
+    for (bucket, bi, bj), members in groups.items():
+        sizes[bucket] += len(members)
+        kind = {k: [m[k] for m in members] for k in ("class", "label", "block", "bi", "bj")}
+        for a, b in zip(*np.nonzero(compared(pa.table(kind))), strict=True):
+            met[bucket, *sorted((kind["class"][a], kind["class"][b]))] += 1
+    expected = {
+        (b, *sorted((c, d))) for i, (b, c, x) in enumerate(rows) for e, d, y in rows[:i] if b == e and x != y
+    }
+    assert set(met) == expected and set(met.values()) == {1}
+    assert sizes[3] == 10 and sizes[1] < 70 * 5 + 40 * 13
+
+
 def test_components_of_paths_stars_and_rings(spark):
     path = [(i, i + 1) for i in range(0, 200)]
     star = [(1000, 1000 + i) for i in range(1, 300)]
@@ -95,7 +115,7 @@ def brute_components(rows, size, percent=80):
     return {i: find(i) for i in ids}
 
 
-@pytest.mark.parametrize("shingle, block, turns", [(2, 1024, 6), (5, 1024, 6), (2, 16, 1)])
+@pytest.mark.parametrize("shingle, block, turns", [(2, 1024, 6), (5, 1024, 6), (2, 16, 1), (2, 16, 6), (5, 8, 6)])
 def test_near_copies_around_the_threshold(spark, shingle, block, turns):
     rng = np.random.default_rng(shingle + block)
     base = [f"b{i}" for i in range(120)]
