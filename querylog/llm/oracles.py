@@ -105,3 +105,68 @@ judged AS (
 )
 SELECT page_id, host, path, r.rule AS rule, coalesce(r.verdict, 'allow') AS verdict FROM judged
 """
+
+_LOWER_TEXT = f"translate(text, '{UPPER}', '{LOWER}')"
+
+
+def _leaf(text: str) -> str:
+    parts = (f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text))
+    return f"sha256({' || '.join(parts)})"
+
+
+# CRC-32 by a table, eight bits at a time; trees of eight children, level by level.
+MERKLE = f"""
+WITH RECURSIVE crc AS (
+    SELECT list(list_reduce([CAST(i AS UBIGINT), 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS UBIGINT)) ELSE c >> 1 END) ORDER BY i) AS steps
+    FROM range(256) t(i)
+), rows AS (
+    SELECT doc_id, lang, {_leaf("text")} AS leaf, {_leaf(_LOWER_TEXT)} AS lowered,
+        xor(CAST(4294967295 AS UBIGINT), list_reduce(
+            [CAST(4294967295 AS UBIGINT)] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS UBIGINT)),
+            lambda c, b: xor(c >> 8, steps[1 + CAST(xor(c, b) & 255 AS BIGINT)]))) % 3 = 0 AS hit
+    FROM documents, crc
+), leaves AS (
+    SELECT doc_id, lang IS NULL AS no_lang, coalesce(lang, '') AS tree, leaf, CASE WHEN hit THEN lowered ELSE leaf END AS now,
+        row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS total
+    FROM rows
+), up AS (
+    SELECT no_lang, tree, 0 AS level, pos, leaf AS h, total FROM leaves
+    UNION ALL
+    SELECT no_lang, tree, level + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (total + 7) // 8
+    FROM up WHERE total > 1 GROUP BY no_lang, tree, level, pos // 8, total
+), tops AS (
+    SELECT no_lang, tree, h, row_number() OVER (ORDER BY NOT no_lang, tree) - 1 AS place, count(*) OVER () AS total
+    FROM up WHERE total = 1
+), over AS (
+    SELECT 0 AS level, place AS pos, h, total FROM tops
+    UNION ALL
+    SELECT level + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (total + 7) // 8 FROM over WHERE total > 1 GROUP BY level, pos // 8, total
+), low AS (
+    SELECT no_lang, tree, level, pos, coalesce(string_agg(h, '') OVER (PARTITION BY no_lang, tree, level, pos // 8 ORDER BY pos
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+        coalesce(string_agg(h, '') OVER (PARTITION BY no_lang, tree, level, pos // 8 ORDER BY pos
+            ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+    FROM up WHERE total > 1
+), high AS (
+    SELECT level, pos, coalesce(string_agg(h, '') OVER (PARTITION BY level, pos // 8 ORDER BY pos
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+        coalesce(string_agg(h, '') OVER (PARTITION BY level, pos // 8 ORDER BY pos
+            ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+    FROM over WHERE total > 1
+), steps AS (
+    SELECT x.no_lang, x.tree, x.pos, s.level, s.l, s.r
+    FROM leaves x JOIN low s ON s.no_lang = x.no_lang AND s.tree = x.tree AND s.pos = x.pos // CAST(pow(8, s.level) AS BIGINT)
+    UNION ALL
+    SELECT x.no_lang, x.tree, x.pos, 1000 + s.level, s.l, s.r
+    FROM leaves x JOIN tops t USING (no_lang, tree) JOIN high s ON s.pos = t.place // CAST(pow(8, s.level) AS BIGINT)
+), paths AS (
+    SELECT no_lang, tree, pos, list({{'l': l, 'r': r}} ORDER BY level) AS path, string_agg(l || r, '' ORDER BY level) AS proof
+    FROM steps GROUP BY no_lang, tree, pos
+)
+SELECT doc_id, leaf, t.h AS subroot, o.h AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+    list_reduce([{{'l': now, 'r': ''}}] || coalesce(path, []), lambda a, s: {{'l': sha256(s.l || a.l || s.r), 'r': ''}}).l AS folded_root,
+    folded_root = root AS verified
+FROM leaves x JOIN tops t USING (no_lang, tree) JOIN (SELECT h FROM over WHERE total = 1) o ON true
+LEFT JOIN paths p ON p.no_lang = x.no_lang AND p.tree = x.tree AND p.pos = x.pos
+"""
