@@ -11,8 +11,11 @@ from querylog.llm.decontamination import benchmark_hits
 from querylog.llm.importance import resampled
 from querylog.llm.licences import scanned
 from querylog.llm.main_text import extracted
+from querylog.llm.merkle import folded, lowered_by_chance, manifest, proof_digest
 from querylog.llm.mixing import mixed_rates
 from querylog.llm.near_duplicates import Sketching, near_duplicates
+from querylog.llm.nearest import nearest_neighbours
+from querylog.llm.period_runs import longest_run, with_planted_periods, with_runs
 from querylog.llm.rules import judged
 from querylog.llm.shared import table
 from querylog.llm.toxicity import scored
@@ -112,6 +115,35 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every document, some of which are made to repeat."""
+    docs = with_planted_periods(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = with_runs(docs).withColumn("longest", longest_run(F.col("runs")))
+    line = lambda r: F.concat_ws(",", *(r[n].cast("string") for n in ("start", "length", "period")))
+    lines = F.transform("runs", lambda r: F.concat(line(r), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "longest.start", "longest.length", "longest.period",
+        F.floor(F.col("longest.length") * 1000 / F.col("longest.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and whether a later text still fits them."""
+    rows = manifest(table(spark, sf_dir, "documents"), presented={"text": lowered_by_chance()})
+    rows = rows.withColumn("folded_root", folded(F.col("presented_leaf"), F.col("path")))
+    return rows.select(
+        "doc_id", "leaf", "subroot", "root", proof_digest(F.col("path")).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors to every hundredth one."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest_neighbours(rows, rows.filter("vec_id % 100 = 0"))
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -125,6 +157,9 @@ QUERIES = {
         op8_toxicity,
         op9_url_filter,
         op10_quality_rules,
+        op11_periodic_runs,
+        op12_merkle_manifest,
+        op13_nearest_neighbours,
     )
 }
 ORACLES = {
@@ -132,4 +167,5 @@ ORACLES = {
     "op2_benchmark_decontamination": oracles.DECONTAMINATION,
     "op4_minhash_near_dedup": oracles.NEAR_DUPLICATES,
     "op9_url_filter": oracles.url_filter(URL_RULES),
+    "op12_merkle_manifest": oracles.MERKLE,
 }

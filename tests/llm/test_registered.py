@@ -14,7 +14,7 @@ SF_DIR = "/root/testdata/sf0.001"
 def test_all_are_registered():
     assert {*QUERIES, "pipeline"} <= entry_point.queries().keys()
     assert ORACLES.keys() <= entry_point.oracle_sql().keys()
-    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 14)}
 
 
 @pytest.mark.parametrize("name", ORACLES)
