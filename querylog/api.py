@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from querylog.operators import logs, ranking, snapshot, timeseries
 from querylog.operators.paging import Page
-from querylog.sources import read_query_log
+from querylog.sources import open_database, read_query_log
 from querylog.validation import LIST_PAGE_DEFAULT, LOG_PAGE_DEFAULT, SEARCH_DEFAULT
 
 
@@ -18,11 +18,13 @@ class QueryLog:
     """A log frame with the moment its ranges look back from.
 
     Without ``as_of`` every call looks back from its own current time. Paged
-    methods return a :class:`Page` of ``items`` and ``totals``.
+    methods return a :class:`Page` of ``items`` and ``totals``. ``at_source`` is for the
+    frame of a database, which then counts by itself where it can.
     """
 
     log: DataFrame
     as_of: datetime | None = None
+    at_source: bool = False
 
     @classmethod
     def open(
@@ -35,6 +37,11 @@ class QueryLog:
     ) -> QueryLog:
         return cls(read_query_log(spark, kind, target, **options), as_of)
 
+    @classmethod
+    def in_database(cls, spark: SparkSession, kind: str, target: str, as_of: datetime | None = None, **options) -> QueryLog:
+        """A log that stays in its database, which answers totals and ranked lists."""
+        return cls(open_database(spark, kind, target, **options), as_of, at_source=True)
+
     def query_logs(
         self,
         limit: int = LOG_PAGE_DEFAULT,
@@ -58,7 +65,7 @@ class QueryLog:
         )
 
     def stats_24h(self) -> DataFrame:
-        return snapshot.stats_24h(self.log, self.as_of)
+        return snapshot.stats_24h(self.log, self.as_of, self.at_source)
 
     def overview_24h(self) -> DataFrame:
         return snapshot.overview_24h(self.log, self.as_of)
@@ -83,24 +90,24 @@ class QueryLog:
         offset: int = 0,
         filter: str = "all",
     ) -> Page:
-        return ranking.top_list(self.log, kind, range, limit, offset, filter, self.as_of)
+        return ranking.top_list(self.log, kind, range, limit, offset, filter, self.as_of, self.at_source)
 
     def top_domains(
         self, range: str, limit: int = LIST_PAGE_DEFAULT, offset: int = 0, filter: str = "all"
     ) -> Page:
         return ranking.top_domains(
-            self.log, range, limit=limit, offset=offset, filter=filter, as_of=self.as_of
+            self.log, range, limit=limit, offset=offset, filter=filter, as_of=self.as_of, at_source=self.at_source
         )
 
     def top_clients(
         self, range: str, limit: int = LIST_PAGE_DEFAULT, offset: int = 0, filter: str = "all"
     ) -> Page:
         return ranking.top_clients(
-            self.log, range, limit=limit, offset=offset, filter=filter, as_of=self.as_of
+            self.log, range, limit=limit, offset=offset, filter=filter, as_of=self.as_of, at_source=self.at_source
         )
 
     def query_types_breakdown(self, range: str) -> DataFrame:
-        return ranking.query_types_breakdown(self.log, range, self.as_of)
+        return ranking.query_types_breakdown(self.log, range, self.as_of, self.at_source)
 
     def search_domains(self, range: str, query: str, limit: int = SEARCH_DEFAULT) -> DataFrame:
         return ranking.search_domains(self.log, range, query, limit, self.as_of)

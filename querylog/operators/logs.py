@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querylog.functions.predicates import before, in_range, log_predicates, since, where_all
-from querylog.operators.paging import TOP_K_ROWS, Page, Slot, locate, number_slots, page_of, text_slots
+from querylog.operators.paging import Page, page_of
 from querylog.operators.timeseries import slot_of
 from querylog.schema import EPOCH, LOG_COLUMNS, epoch_micros
 from querylog.validation import (
@@ -18,8 +18,7 @@ from querylog.validation import (
     check_response_type,
 )
 
-# Slot widths in microseconds, coarse to fine: hour, second, microsecond.
-_SLOT_WIDTHS = (3_600_000_000, 1_000_000, 1)
+_HOUR = 3_600_000_000  # microseconds
 # Slot of rows without a timestamp: after every dated one.
 _UNDATED = -(1 << 62)
 
@@ -70,41 +69,34 @@ def query_logs(
     """A page of log rows, and the number of all.
 
     A first job counts rows per hour, reading the timestamp and the filtered
-    columns only. It yields the total and the hours the page lies in; the page
-    itself then reads only those, in full width. Where one hour still holds too
-    many rows before the page, the search goes on by second and microsecond, and
-    amid rows of one microsecond by the other columns in order. Those jobs run in
-    this call, the page when its items are read: rows that come or go in between
-    can shift it.
+    columns only; a row per hour of the log comes back. It yields the total and the
+    hours the page lies in; the page itself then reads only those, in full width.
+    Where they still hold many rows before the page, :func:`page_of` locates it among
+    them by all ordered columns. Those jobs run in this call, the page when its items
+    are read: rows that come or go in between can shift it.
     """
     check_page(limit, offset)
     kept = filtered_logs(log, **filters)
-    rest, skip, total = kept, offset, None
-    for width in _SLOT_WIDTHS:
-        slot = F.coalesce(slot_of(epoch_micros(kept), 0, width), F.lit(_UNDATED))
-        found = locate(rest, [Slot(slot, descending=True)], limit, skip)
-        total = found.total if total is None else total
-        if not found.hits:
-            rest, skip = kept.where(F.lit(False)), 0
-            break
-        (first,), (last,) = found.hits[0], found.hits[-1]
-        rest, skip = _between(rest, first, last, width), skip - found.before
-        if skip <= TOP_K_ROWS or first == _UNDATED:
-            break
-    items = page_of(rest.select(*LOG_COLUMNS), _levels(rest), log_order(), limit, skip)
+    slot = F.coalesce(slot_of(epoch_micros(kept), 0, _HOUR), F.lit(_UNDATED))
+    hours = kept.groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).collect()
+    total, hits, skip = 0, [], offset
+    for at, n in sorted(((r["slot"], r["n"]) for r in hours), reverse=True):
+        if total < offset + limit and total + n > offset:
+            skip = skip if hits else offset - total
+            hits.append(at)
+        total += n
+    rest = _between(kept, hits[0], hits[-1], _HOUR) if hits else kept.where(F.lit(False))
+    rest = rest.select(*LOG_COLUMNS)
+    items = page_of(rest, _keys(rest), log_order(), limit, skip if hits else 0)
     totals = log.sparkSession.range(1).select(F.lit(total).cast("long").alias("total_count"))
     return Page(items, totals)
 
 
-def _levels(rows: DataFrame) -> list[Slot]:
-    """Slots of the columns that settle equal timestamps, in order."""
-    time = F.coalesce(slot_of(epoch_micros(rows), 0, 1), F.lit(_UNDATED))
-    levels = [Slot(time, descending=True, exact=True)]
-    named = ["question_name", "id"]
-    for name in named + [c for c in LOG_COLUMNS if c not in ("request_ts", *named)]:
-        number = rows.schema[name].dataType.typeName() != "string"
-        levels += number_slots(F.col(name)) if number else text_slots(F.col(name))
-    return levels
+def _keys(rows: DataFrame) -> list[Column]:
+    """What :func:`log_order` sorts by, as ascending keys."""
+    time = F.coalesce(-epoch_micros(rows), F.lit(-_UNDATED))
+    first = [time, F.col("question_name"), F.col("id")]
+    return first + [F.col(c) for c in LOG_COLUMNS if c not in ("request_ts", "question_name", "id")]
 
 
 def _between(rest: DataFrame, first: int, last: int, width: int) -> DataFrame:

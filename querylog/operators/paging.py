@@ -1,22 +1,25 @@
 """Pages of ordered frames that stay distributed at any offset.
 
-A page is located before it is read: rows are counted per slot of the leading order
-column, coarse slots first, until so few rows precede the page inside its slots that a
-plain top-k does. Every level is one aggregation; nothing is written anywhere.
+A page is located before it is read, as the k-th element of a set is selected: some rows
+split the frame, rows are counted between them, and the frame is narrowed to where the
+page lies, until so few rows precede it that a plain top-k does. Rows equal to a splitter
+are a class of their own, so ties of any number are told apart from what is around them.
+No rows are sorted or numbered for it, and nothing is written anywhere.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-#: A page is read once no more than this many rows precede it in its slots.
-#: It says how far to narrow; results, laziness and needs are the same at any offset.
+#: A page is read once no more than this many rows precede it in what is left.
+#: It says how far to narrow; results and needs are the same at any offset.
 TOP_K_ROWS = 1_000
+#: Rows that split a frame at once: what is left shrinks by about this factor a round.
+SPLITTERS = 63
 
 
 @dataclass(frozen=True)
@@ -27,97 +30,75 @@ class Page:
     totals: DataFrame
 
 
-@dataclass(frozen=True)
-class Slot:
-    """A value to count rows by, and its place in the order: descending or ascending
-    (nulls last or first). ``exact`` slots tell all values of the column apart."""
-
-    value: Column
-    descending: bool = False
-    exact: bool = False
-
-    @property
-    def order(self) -> Column:
-        return self.value.desc_nulls_last() if self.descending else self.value.asc_nulls_first()
-
-
-@dataclass(frozen=True)
-class Located:
-    """Where a page lies among slots: rows overall, the slots it touches (in order, at
-    most one more than it has rows), rows before the first of them, and that one's size."""
-
-    total: int
-    hits: list[tuple]
-    before: int
-    size: int
-
-
 def top_page(frame: DataFrame, order: list[Column], limit: int, offset: int) -> DataFrame:
     return frame.orderBy(*order).offset(offset).limit(limit)
 
 
-def locate(frame: DataFrame, slots: list[Slot], limit: int, offset: int) -> Located:
-    """Find the slots holding rows ``offset .. offset + limit`` of a frame.
+def _literal(values: Row, types: StructType) -> Column:
+    """A key as literals of the types that the frame's keys have."""
+    return F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(values, types)))
 
-    The running total is taken over one row per slot, so slots must be coarse, or the
-    frame narrowed before; no more slots come back than the page has rows.
-    """
-    names = [f"s{i}" for i in range(len(slots))]
-    sizes = frame.groupBy(*(s.value.alias(n) for s, n in zip(slots, names))).agg(F.count("*").alias("size"))
-    order = [Slot(F.col(n), s.descending).order for s, n in zip(slots, names)]
-    running = F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    placed = sizes.select("*", (running - F.col("size")).alias("before"))
-    hit = (F.col("before") < offset + limit) & (F.col("before") + F.col("size") > offset)
-    row = placed.agg(
-        F.coalesce(F.sum("size"), F.lit(0)).alias("total"),
-        F.array_sort(F.collect_list(F.when(hit, F.struct("before", "size", *names)))).alias("hits"),
-    ).first()
-    hits = row["hits"]
-    first = hits[0] if hits else None
-    return Located(
-        row["total"], [tuple(h[n] for n in names) for h in hits],
-        first["before"] if first else 0, first["size"] if first else 0,
-    )
 
+def _splitters(frame: DataFrame, key: Column) -> tuple[list[Row], StructType]:
+    """Keys of some rows at random, distinct and in order. Any will do: they only say
+    where the frame is split."""
+    keys = frame.select(key.alias("key"))
+    some = keys.orderBy(F.rand(5)).limit(SPLITTERS)
+    return [r["key"] for r in some.distinct().orderBy("key").collect()], keys.schema["key"].dataType
 
-def among(slots: list[Slot], hits: Iterable[tuple]) -> Column:
-    """Whether a row lies in one of the slots."""
-    return reduce(
-        lambda a, b: a | b,
-        (reduce(lambda a, b: a & b, (s.value.eqNullSafe(F.lit(v)) for s, v in zip(slots, hit))) for hit in hits),
-    )
 
+def _class_of(key: Column, splitters: list[Column], low: int, high: int) -> Column:
+    """The class of a key: ``2 i + 1`` if it equals splitter ``i``, else the even number
+    between those of its neighbours. Found by halves, in a few comparisons."""
+    if low == high:
+        return F.lit(2 * low)
+    middle = (low + high) // 2
+    at = splitters[middle]
+    return (
+        F.when(key < at, _class_of(key, splitters, low, middle))
+        .when(key > at, _class_of(key, splitters, middle + 1, high))
+        .otherwise(F.lit(2 * middle + 1))
+    )
 
-def page_of(
-    frame: DataFrame, levels: Iterable[Slot], order: list[Column], limit: int, offset: int
-) -> DataFrame:
-    """The page of a frame. ``levels`` are slots in order, coarse to fine for each column;
-    all of them together tell apart what is not equal in every ordered column."""
-    done: list[Slot] = []
-    skip, found, keys = offset, None, []
-    for level in levels:
-        if skip <= TOP_K_ROWS:
-            return top_page(frame, order, limit, skip)
-        keys = [*done, level]
-        found = locate(frame, keys, limit, skip)
-        if not found.hits:
-            return frame.where(F.lit(False))
-        frame, skip = frame.where(among(keys, found.hits)), skip - found.before
-        if level.exact:
-            done.append(level)
-    if skip <= TOP_K_ROWS or found is None:
-        return top_page(frame, order, limit, skip)
-    # What precedes the page now are rows equal to its first: any of them will do.
-    first = among(keys, found.hits[:1])
-    head = frame.where(first).limit(min(limit, found.size - skip))
-    return head.unionByName(frame.where(~first)).orderBy(*order).limit(limit)
 
+def _bounded(key: Column, splitters: list[Column], first: int, last: int) -> Column:
+    """Whether a key lies in one of the classes ``first`` to ``last``."""
+    bound = F.lit(True)
+    if first > 0:
+        bound = key >= splitters[first // 2] if first % 2 else key > splitters[first // 2 - 1]
+    if last < 2 * len(splitters):
+        bound = bound & (key <= splitters[last // 2] if last % 2 else key < splitters[last // 2])
+    return bound
 
-def text_slots(text: Column) -> list[Slot]:
-    """Slots of a text: ever longer beginnings, then the whole."""
-    return [Slot(F.substring(text, 1, n)) for n in (4, 12)] + [Slot(text, exact=True)]
 
+def page_of(frame: DataFrame, keys: list[Column], order: list[Column], limit: int, offset: int) -> DataFrame:
+    """The page of a frame in ``order``, which sorts by ``keys`` ascending, nulls first.
 
-def number_slots(number: Column) -> list[Slot]:
-    """Slots of a whole number: its leading bits, ever more of them."""
-    return [Slot(F.shiftright(number, n)) for n in (40, 20)] + [Slot(number, exact=True)]
+    What precedes the page by more than :data:`TOP_K_ROWS` rows is left out by rounds of
+    two jobs, that run in this call. Rows equal in all keys are taken for copies.
+    """
+    key = F.struct(*(k.alias(f"k{i}") for i, k in enumerate(keys)))
+    skip = offset
+    while skip > TOP_K_ROWS:
+        found, types = _splitters(frame, key)
+        at = [_literal(values, types) for values in found]
+        sizes = frame.groupBy(_class_of(key, at, 0, len(at)).alias("place")).agg(F.count("*").alias("n"))
+        first = last = None
+        before = start = size = 0
+        for place, n in sorted((r["place"], r["n"]) for r in sizes.collect()):
+            if before < skip + limit and before + n > skip:
+                if first is None:
+                    first, start, size = place, before, n
+                last = place
+            before += n
+        if first is None:
+            return frame.where(F.lit(False))
+        if first % 2 and skip - start > TOP_K_ROWS:
+            # Rows equal to the page's first precede it: any of them will do.
+            head = frame.where(_bounded(key, at, first, first)).limit(min(limit, start + size - skip))
+            if last == first:
+                return head
+            rest = frame.where(_bounded(key, at, first + 1, last))
+            return head.unionByName(rest).orderBy(*order).limit(limit)
+        frame, skip = frame.where(_bounded(key, at, first, last)), skip - start
+    return top_page(frame, order, limit, skip)

@@ -15,7 +15,7 @@ from querylog.functions.predicates import (
     is_type,
     where_all,
 )
-from querylog.operators.paging import Page, Slot, page_of, text_slots, top_page
+from querylog.operators.paging import TOP_K_ROWS, Page, page_of, top_page
 from querylog.schema import UNKNOWN
 from querylog.validation import (
     LIST_KINDS,
@@ -38,12 +38,21 @@ def rank_order(name: str = "name", count: str = "count") -> list[Column]:
     return [F.desc(count), F.lower(F.col(name)), F.col(name)]
 
 
-def grouped_counts(log: DataFrame, column: str) -> DataFrame:
+def grouped_counts(log: DataFrame, column: str, at_source: bool = False) -> DataFrame:
     """Rows and blocked rows per name. Nulls are one group, named "unknown".
 
     Partial aggregation leaves at most one row per name and task to shuffle, so
     a name holding a large part of the log costs no more than a rare one.
+
+    ``at_source`` counts in a form that databases take: sums of cases over groups of the
+    bare column. The nulls are named, and joined to an equal name, after that.
     """
+    if at_source:
+        blocked = F.sum(F.when(is_type("BLOCKED"), 1).otherwise(0))
+        stored = log.groupBy(column).agg(F.count("*").alias("count"), blocked.alias("blocked"))
+        return stored.groupBy(F.coalesce(F.col(column), F.lit(UNKNOWN)).alias("name")).agg(
+            F.sum("count").alias("count"), F.sum("blocked").alias("blocked")
+        )
     return log.groupBy(F.coalesce(F.col(column), F.lit(UNKNOWN)).alias("name")).agg(
         F.count("*").alias("count"),
         F.count_if(is_type("BLOCKED")).alias("blocked"),
@@ -63,10 +72,21 @@ _TOTALS = ("total_count", "total_queries", "total_blocked")
 
 
 def _rank_page(grouped: DataFrame, limit: int, offset: int) -> DataFrame:
-    # Few distinct counts exist (their sum is the log), so they make good slots.
-    name = F.col("name")
-    levels = [Slot(F.col("count"), descending=True, exact=True), *text_slots(F.lower(name)), *text_slots(name)]
-    return page_of(grouped, levels, rank_order(), limit, offset)
+    keys = [-F.col("count"), F.lower(F.col("name")), F.col("name")]
+    return page_of(grouped, keys, rank_order(), limit, offset)
+
+
+def _list_rows(
+    log: DataFrame, kind: str, range: str, limit: int, offset: int, filter: str, as_of: datetime | None, at_source: bool
+) -> DataFrame:
+    check_choice("kind", kind, LIST_KINDS)
+    check_page(limit, offset)
+    kept = where_all(log, [in_range(log, range, as_of), *blocked_only(filter)])
+    grouped = grouped_counts(kept, _KINDS[kind][0], at_source)
+    page = _rank_page(grouped, limit, offset)
+    share = percentage(F.col("count"), F.col("total_queries"))
+    both = F.broadcast(group_totals(grouped)).join(page, F.lit(True), "left")
+    return both.select("name", "count", "blocked", share.alias("percentage"), *_TOTALS)
 
 
 def top_list_rows(
@@ -77,21 +97,19 @@ def top_list_rows(
     offset: int = 0,
     filter: str = "all",
     as_of: datetime | None = None,
+    at_source: bool = False,
 ) -> DataFrame:
     """One frame with a page's rows and, in every row, the totals over all pages.
 
     Past the end there is one row, of totals alone. Page and totals read the same
-    exchange of the grouped log, so a page costs one pass; a deep one is located by
-    passes over the log before.
+    exchange of the grouped log, so a page costs one pass. Nothing runs before the frame
+    is read; so it offers the first thousand ranks, for deeper pages have to be located
+    first: see :func:`top_list`. ``at_source`` is for frames of a database (see
+    :func:`querylog.sources.open_database`), which then counts.
     """
-    check_choice("kind", kind, LIST_KINDS)
-    check_page(limit, offset)
-    kept = where_all(log, [in_range(log, range, as_of), *blocked_only(filter)])
-    grouped = grouped_counts(kept, _KINDS[kind][0])
-    page = _rank_page(grouped, limit, offset)
-    share = percentage(F.col("count"), F.col("total_queries"))
-    both = F.broadcast(group_totals(grouped)).join(page, F.lit(True), "left")
-    return both.select("name", "count", "blocked", share.alias("percentage"), *_TOTALS)
+    if offset > TOP_K_ROWS:
+        raise ValueError(f"top_list_rows offers offsets up to {TOP_K_ROWS}; top_list has all")
+    return _list_rows(log, kind, range, limit, offset, filter, as_of, at_source)
 
 
 def top_list(
@@ -102,16 +120,17 @@ def top_list(
     offset: int = 0,
     filter: str = "all",
     as_of: datetime | None = None,
+    at_source: bool = False,
 ) -> Page:
     """Ranked names with columns ``name, count, blocked, percentage``, and totals.
 
     With ``filter="blocked"`` percentages are of the blocked rows. Past the end the
     totals still tell the number of groups. The page, at most a hundred rows, and its
-    totals are computed together when this is called, so they always agree;
-    :func:`top_list_rows` is the same as one frame, computed when it is read.
+    totals are computed when this is called; a deep page is located by passes over
+    the grouped log before. :func:`top_list_rows` is the same as one frame.
     """
     spark = log.sparkSession
-    frame = top_list_rows(log, kind, range, limit, offset, filter, as_of)
+    frame = _list_rows(log, kind, range, limit, offset, filter, as_of, at_source)
     rows = frame.collect()
     names = [c for c in frame.columns if c not in _TOTALS]
     items = spark.createDataFrame(
@@ -140,13 +159,11 @@ def top_clients(log: DataFrame, range: str, **options) -> Page:
 
 
 def query_types_breakdown(
-    log: DataFrame, range: str, as_of: datetime | None = None
+    log: DataFrame, range: str, as_of: datetime | None = None, at_source: bool = False
 ) -> DataFrame:
     """Rows and percentage per record type, most frequent first."""
     kept = log.where(in_range(log, range, as_of))
-    types = kept.groupBy(F.coalesce("question_type", F.lit(UNKNOWN)).alias("type")).agg(
-        F.count("*").alias("count")
-    )
+    types = grouped_counts(kept, "question_type", at_source).select(F.col("name").alias("type"), "count")
     total = types.agg(F.sum("count").alias("total_queries"))
     return (
         types.crossJoin(F.broadcast(total))
@@ -204,25 +221,23 @@ def suggestions(
     log: DataFrame, text: str = "", range: str = "24h", as_of: datetime | None = None
 ) -> DataFrame:
     """Filter suggestions ``kind, name, count``: the top names while nothing is
-    typed, otherwise the names containing the typed text."""
-    parts = []
+    typed, otherwise the names containing the typed text.
+
+    One pass: each row gives its domain and its client, and names are cut to the first
+    of each kind before they are shuffled for ranking.
+    """
+    most, named = (_SUGGESTED_HITS if text else _SUGGESTED_TOP), []
     for kind in LIST_KINDS:
         column, name, _ = _KINDS[kind]
-        if text:
-            found = _search(log, kind, range, text, _SUGGESTED_HITS, as_of)
-            found = found.withColumnRenamed(name, "name")
+        if not text:
+            hit, value = F.lit(True), F.coalesce(F.col(column), F.lit(UNKNOWN))
         else:
-            kept = log.where(in_range(log, range, as_of))
-            found = top_page(
-                kept.groupBy(F.coalesce(F.col(column), F.lit(UNKNOWN)).alias("name")).agg(
-                    F.count("*").alias("count")
-                ),
-                rank_order(),
-                _SUGGESTED_TOP,
-                0,
-            )
-        parts.append(found.select(F.lit(name).alias("kind"), "name", "count"))
-    return parts[0].unionByName(parts[1])
+            hit, value = (contains_text(column, text) if text.strip() else F.lit(False)), F.col(column)
+        named.append(F.when(hit, F.struct(F.lit(name).alias("kind"), value.alias("name"))))
+    kept = log.where(in_range(log, range, as_of)).select(F.explode(F.array(*named)).alias("hit"))
+    counts = kept.where("hit IS NOT NULL").groupBy("hit.kind", "hit.name").agg(F.count("*").alias("count"))
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(*rank_order()))
+    return counts.withColumn("place", place).where(F.col("place") <= most).drop("place")
 
 
 def list_shares(items: DataFrame) -> DataFrame:

@@ -16,12 +16,15 @@ from querylog.schema import UNKNOWN
 LIST_LENGTH = 5
 
 
-def stats_24h(log: DataFrame, as_of: datetime | None = None) -> DataFrame:
-    """One row: ``total_queries, blocked`` of the last 24 hours."""
-    return log.where(in_range(log, "24h", as_of)).agg(
-        F.count("*").alias("total_queries"),
-        F.count_if(is_type("BLOCKED")).alias("blocked"),
-    )
+def stats_24h(log: DataFrame, as_of: datetime | None = None, at_source: bool = False) -> DataFrame:
+    """One row: ``total_queries, blocked`` of the last 24 hours.
+
+    ``at_source`` counts in a form that databases take.
+    """
+    blocked = F.count_if(is_type("BLOCKED"))
+    if at_source:
+        blocked = F.coalesce(F.sum(F.when(is_type("BLOCKED"), 1).otherwise(0)), F.lit(0))
+    return log.where(in_range(log, "24h", as_of)).agg(F.count("*").alias("total_queries"), blocked.alias("blocked"))
 
 
 def overview_24h(log: DataFrame, as_of: datetime | None = None) -> DataFrame:

@@ -137,7 +137,9 @@ def _raw_lines(spark, sf_dir) -> DataFrame:
         .when(F.split(line, "\t")[3] == "", F.concat(line, F.lit("\textra")))
         .otherwise(line)
     )
-    return tsv_lines(dirty).select(broken.alias("value"))
+    # A generator keeps what is asked of the lines from being pushed below their making.
+    whole = tsv_lines(dirty).select(F.explode(F.array("line")).alias("line"))
+    return whole.select(F.explode(F.array(broken)).alias("value"))
 
 
 @register(

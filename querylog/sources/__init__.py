@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from querylog.sources.jdbc import read_jdbc
+from querylog.sources.jdbc import open_database, read_jdbc
 from querylog.sources.jsonl import read_jsonl
 from querylog.sources.payloads import parse_payloads, read_payloads
 from querylog.sources.table import read_table
@@ -47,6 +47,7 @@ def read_query_log(spark: SparkSession, kind: str, target: str | None, **options
 
 __all__ = [
     "SOURCE_KINDS",
+    "open_database",
     "parse_payloads",
     "parse_tsv_lines",
     "read_jdbc",

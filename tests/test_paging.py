@@ -130,17 +130,56 @@ def test_ends_of_the_calendar(spark, monkeypatch, moment):
     limit=st.integers(1, 30),
     offset=st.integers(0, 150),
 )
-def test_page_by_slots(spark, sizes, limit, offset):
+def test_page_by_splitting(spark, sizes, limit, offset):
     values = [(k, f"t{i % 7}") for k, size in enumerate(sizes) for i in range(size)]
     frame = spark.createDataFrame(values, "k int, t string").repartition(4)
-    levels = [paging.Slot(F.col("k"), descending=True, exact=True), *paging.text_slots(F.col("t"))]
     expected = sorted(values, key=lambda v: (-v[0], v[1]))[offset : offset + limit]
-    before, paging.TOP_K_ROWS = paging.TOP_K_ROWS, 3
+    before = paging.TOP_K_ROWS, paging.SPLITTERS
+    paging.TOP_K_ROWS, paging.SPLITTERS = 3, 5
     try:
-        page = paging.page_of(frame, levels, [F.desc("k"), F.asc("t")], limit, offset)
+        page = paging.page_of(frame, [-F.col("k"), F.col("t")], [F.desc("k"), F.asc("t")], limit, offset)
         assert [tuple(r) for r in page.collect()] == expected
     finally:
-        paging.TOP_K_ROWS = before
+        paging.TOP_K_ROWS, paging.SPLITTERS = before
+
+
+def test_names_with_one_beginning_take_no_single_task(spark):
+    """Millions of names of count 1 with a long common beginning, in small."""
+    n = 40_000
+    name = F.concat(F.lit("a-rather-long-common-beginning."), F.lpad(F.col("id").cast("string"), 6, "0"))
+    frame = spark.range(0, n, 1, 8).select(F.when(F.col("id") % 10 == 0, None).otherwise(name).alias("name"), (F.col("id") % 2).alias("n"))
+    plans = []
+    collect = type(frame).collect
+
+    def seen(self):
+        plans.append(self._jdf.queryExecution().executedPlan().toString())
+        return collect(self)
+
+    type(frame).collect = seen
+    try:
+        page = paging.page_of(frame, [-F.col("n"), F.col("name")], [F.desc("n"), F.asc_nulls_first("name")], 20, 30_011)
+        found = [r["name"] for r in page.collect()]
+    finally:
+        type(frame).collect = collect
+    rows = sorted((-(i % 2), i % 10 != 0, i) for i in range(n))[30_011:30_031]
+    assert [f and int(f[-6:]) for f in found] == [i if named else None for _, named, i in rows]
+    assert len(plans) <= 7 and not any("Window" in p for p in plans)
+
+
+def test_ranked_rows_are_lazy_or_refused(spark, log):
+    """The one frame runs nothing before it is read, or says that it cannot."""
+    from querylog.operators.ranking import top_list_rows
+
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("lazy", "lazy")
+    try:
+        for offset in (0, 900, paging.TOP_K_ROWS):
+            top_list_rows(log, "clients", "30d", offset=offset, as_of=START)
+        assert not tracker.getJobIdsForGroup("lazy")
+    finally:
+        spark.sparkContext._jsc.sc().clearJobGroup()
+    with pytest.raises(ValueError, match="top_list"):
+        top_list_rows(log, "clients", "30d", offset=paging.TOP_K_ROWS + 1, as_of=START)
 
 
 @pytest.mark.parametrize("offset", [0, 5000])
