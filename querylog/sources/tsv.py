@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from querylog.functions.answers import SPACES, trim_space
@@ -26,7 +26,7 @@ LOG_FILES = "*.log"
 CLIENT_LOG_FILES = "[0-9][0-9][0-9][0-9]-[0-9][0-9]-[0-9][0-9]_?*.log"
 _FILE_DATE = r"([0-9]{4}-[0-9]{2}-[0-9]{2})_[^/]+\.log$"
 # The layout that the writer makes: a directory per date, one per client inside.
-_WRITTEN_FILES = "part-*"
+WRITTEN_FILES = "part-*"
 _WRITTEN_DATE = r"/log_date=([0-9]{4}-[0-9]{2}-[0-9]{2})/"
 _NON_SPACE = f"[^{SPACES}]"
 _ZONED = r"(?:[A-Za-z]|\d[+-]\d{1,2}(?::?\d{2})?)\s*$"
@@ -81,17 +81,27 @@ def parse_tsv_lines(
     line: str = "value",
     strict_trim: bool = False,
     time_zone: str = "UTC",
+    observation: Observation | None = None,
 ) -> DataFrame:
     """Log rows of the well-formed lines. Fields past the eleventh are ignored.
 
     Only line ends are stripped, so a line may begin or end with empty fields.
     ``strict_trim`` strips all outer whitespace first, tabs included; a line
     ending in an empty field then comes out one field short.
+
+    ``observation`` counts in the same pass: ``lines`` that are not blank, ``rejects``
+    among them, and the rejects by their fields (``fields_1`` to ``fields_10``). It
+    holds them once the first action on the rows is done.
     """
     body = _body(F.col(line), strict_trim)
     # Catalyst does not push filters through a generator: lines are split once.
     rows = lines.where(_filled(F.col(line)))
     rows = rows.select(F.explode(F.array(_split(body))).alias("fields"))
+    if observation is not None:
+        n = F.size("fields")
+        by_size = (F.count_if(n == i).alias(f"fields_{i}") for i in range(1, len(TSV_FIELDS)))
+        rejects = F.count_if(n < len(TSV_FIELDS)).alias("rejects")
+        rows = rows.observe(observation, F.count("*").alias("lines"), rejects, *by_size)
     rows = rows.where(F.size("fields") >= len(TSV_FIELDS))
     field = {name: F.get("fields", F.lit(i)) for i, name in enumerate(TSV_FIELDS)}
     field["request_ts"] = parse_timestamp(field["request_ts"], time_zone)
@@ -127,19 +137,27 @@ def latest_date(spark: SparkSession, directory: str, glob: str = CLIENT_LOG_FILE
     return list_files(spark, directory, glob).agg(F.max(date).alias("date")).first()["date"]
 
 
-def _is_written(spark: SparkSession, directory: str) -> bool:
+def is_written(spark: SparkSession, directory: str) -> bool:
     """Whether a directory has the layout of the writer, seen from its first level."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{directory.rstrip('/')}/log_date=*")
+    return _matches(spark, f"{directory.rstrip('/')}/log_date=*")
+
+
+def has_both_layouts(spark: SparkSession, directory: str, glob: str) -> bool:
+    """Whether log files lie beside what the writer wrote."""
+    return is_written(spark, directory) and _matches(spark, f"{directory.rstrip('/')}/{glob}")
+
+
+def _matches(spark: SparkSession, pattern: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
     found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
     return found is not None and len(found) > 0
 
 
 def _written_lines(spark: SparkSession, directory: str, latest_only: bool) -> DataFrame:
     """Lines that the writer wrote; ``latest_only`` keeps the latest date's directory."""
-    reader = spark.read.option("pathGlobFilter", _WRITTEN_FILES).option("recursiveFileLookup", True)
+    reader = spark.read.option("pathGlobFilter", WRITTEN_FILES).option("recursiveFileLookup", True)
     if latest_only:
-        files = spark.read.format("binaryFile").option("pathGlobFilter", _WRITTEN_FILES)
+        files = spark.read.format("binaryFile").option("pathGlobFilter", WRITTEN_FILES)
         dates = files.option("recursiveFileLookup", True).load(directory).select("path")
         latest = dates.agg(F.max(F.regexp_extract("path", _WRITTEN_DATE, 1)).alias("date")).first()
         if latest["date"]:
@@ -161,11 +179,20 @@ def read_tsv_lines(
     that one path or date passes through the driver. A missing directory raises.
 
     A directory that ``write_tsv`` wrote is recognised; ``latest_only`` then keeps its
-    latest date. ``glob`` names other files and turns that off.
+    latest date. Log files beside what it wrote are read as well; which of the two is
+    the latest cannot be told, so ``latest_only`` raises there. ``glob`` names other files
+    and turns the recognition off.
     """
-    if glob is None and _is_written(spark, directory):
-        return _written_lines(spark, directory, latest_only)
-    glob = glob or (CLIENT_LOG_FILES if per_client else LOG_FILES)
+    own = glob or (CLIENT_LOG_FILES if per_client else LOG_FILES)
+    if glob is None and is_written(spark, directory):
+        written = _written_lines(spark, directory, latest_only)
+        if not has_both_layouts(spark, directory, own):
+            return written
+        if latest_only:
+            raise ValueError(f"{directory} holds log files beside written dates: name one of them by glob")
+        beside = spark.read.text(f"{directory.rstrip('/')}/{own}").select("value")
+        return written.unionByName(beside)
+    glob = own
     reader = spark.read.option("pathGlobFilter", glob)
     if not latest_only:
         return reader.text(directory).select("value")
@@ -187,7 +214,9 @@ def read_tsv(
     glob: str | None = None,
     strict_trim: bool = False,
     time_zone: str = "UTC",
+    observation: Observation | None = None,
 ) -> DataFrame:
-    """Log rows of a directory of tab-separated files; see :func:`read_tsv_lines`."""
+    """Log rows of a directory of tab-separated files; see :func:`read_tsv_lines` and,
+    for ``observation``, :func:`parse_tsv_lines`."""
     lines = read_tsv_lines(spark, directory, per_client, latest_only, glob)
-    return parse_tsv_lines(lines, strict_trim=strict_trim, time_zone=time_zone)
+    return parse_tsv_lines(lines, strict_trim=strict_trim, time_zone=time_zone, observation=observation)

@@ -3,31 +3,33 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
 
-from querylog.schema import DATE_COLUMN
-from querylog.sinks.table import with_date
 from querylog.sources.jsonl import RECORD_SCHEMA, map_records
-from querylog.sources.tsv import LOG_FILES, parse_tsv_lines
+from querylog.sources.tsv import LOG_FILES, WRITTEN_FILES, has_both_layouts, is_written, parse_tsv_lines
 
 
 def stream_tsv(
     spark: SparkSession,
     directory: str,
-    glob: str = LOG_FILES,
+    glob: str | None = None,
     strict_trim: bool = False,
     time_zone: str = "UTC",
     max_files_per_trigger: int = 1000,
 ) -> DataFrame:
     """Log rows of tab-separated files as they appear in a directory.
 
-    Files are taken up once: they must appear complete, not grow in place.
+    Files are taken up once: they must appear complete; for those that grow in place
+    there is :func:`querylog.streaming.stream_growing`. A directory that ``write_tsv``
+    wrote is recognised as the batch reader does; one that holds log files as well
+    raises, for a stream follows one layout. ``glob`` names other files.
     """
-    lines = (
-        spark.readStream.option("pathGlobFilter", glob)
-        .option("maxFilesPerTrigger", max_files_per_trigger)
-        .text(directory)
-    )
+    reader = spark.readStream.option("maxFilesPerTrigger", max_files_per_trigger)
+    if glob is None and is_written(spark, directory):
+        if has_both_layouts(spark, directory, LOG_FILES):
+            raise ValueError(f"{directory} holds log files beside written dates: name one of them by glob")
+        reader = reader.option("recursiveFileLookup", True)
+        glob = WRITTEN_FILES
+    lines = reader.option("pathGlobFilter", glob or LOG_FILES).text(directory).select("value")
     return parse_tsv_lines(lines, strict_trim=strict_trim, time_zone=time_zone)
 
 
@@ -47,20 +49,3 @@ def stream_jsonl(
         .json(directory)
     )
     return map_records(records, time_zone)
-
-
-def stream_to_table(
-    log: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
-) -> StreamingQuery:
-    """Append a streamed log to a table as :func:`querylog.sinks.write_table` lays
-    it out. By default takes what is there and stops."""
-    return (
-        with_date(log)
-        .writeStream.format("parquet")
-        .outputMode("append")
-        .partitionBy(DATE_COLUMN)
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
-    )

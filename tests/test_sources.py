@@ -8,8 +8,9 @@ from pathlib import Path
 
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
-from seed import AS_OF, seed_rows
+from seed import AS_OF, seed_rows, within
 
 from querylog import read_payloads, read_query_log, write_table, write_tsv
 from querylog.functions.predicates import in_range
@@ -118,7 +119,7 @@ def test_timestamps(spark, session_zone, text, zone, expected):
 
 
 def test_directory_without_logs(spark, tmp_path):
-    _write(tmp_path / "data.txt", _line())
+    _write(tmp_path / "resolver.conf", _line())
     for kind in ("csv", "csv-client"):
         for latest in (False, True):
             log = read_query_log(spark, kind, str(tmp_path), latest_only=latest)
@@ -317,7 +318,7 @@ def test_table_prunes_dates(spark, seed_log, tmp_path, rebalance):
     log = read_query_log(spark, "table", f"{tmp_path}/t")
     assert log.count() == len(seed_rows()) + 1
     recent = log.where(in_range(log, "24h", AS_OF))
-    assert recent.count() == 20
+    assert recent.count() == len(within("24h"))
     plan = recent._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(request_date" in plan
     assert "GreaterThanOrEqual(request_ts" in plan
@@ -346,3 +347,27 @@ def test_missing_driver_is_reported(spark, options):
     """Without the driver JAR the reader fails before it connects anywhere."""
     with pytest.raises(Exception, match="org.sqlite.JDBC"):
         read_query_log(spark, "sqlite", "/nowhere/log.db", **options)
+
+
+@pytest.mark.parametrize("per_client", [False, True])
+def test_log_files_beside_written_dates_are_read_as_well(spark, seed_log, tmp_path, per_client):
+    write_tsv(seed_log, f"{tmp_path}/t", per_client=per_client)
+    beside = tmp_path / "t" / "2024-01-30_laptop.log"
+    beside.write_text("\t".join(["2024-01-30 10:00:00", "1.1.1.1", "c", "1", "r", "q", "a", "NOERROR", "CACHED", "A", "h"]) + "\n")
+    assert read_tsv(spark, f"{tmp_path}/t", per_client=per_client).count() == len(seed_rows()) + 1
+    assert read_tsv(spark, f"{tmp_path}/t", glob="*.log").count() == 1
+    with pytest.raises(ValueError, match="beside written dates"):
+        read_tsv(spark, f"{tmp_path}/t", per_client=per_client, latest_only=True)
+
+
+def test_rejects_are_counted_in_the_same_pass(spark, tmp_path):
+    good = "\t".join("abcdefghijk")
+    (tmp_path / "a.log").write_text("\n".join([good, "a\tb", "", " \t ", "x", good + "\textra", "\t".join("abcdefghij"), "y"]) + "\n")
+    seen = Observation("lines")
+    rows = read_tsv(spark, str(tmp_path), observation=seen)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1
+    assert len(rows.collect()) == 2
+    assert {k: v for k, v in seen.get.items() if v} == {"lines": 6, "rejects": 4, "fields_1": 2, "fields_2": 1, "fields_10": 1}
+    lines = spark.read.text(str(tmp_path))
+    assert tsv_rejects(lines).count() == seen.get["rejects"]
