@@ -34,25 +34,25 @@ def test_answers(spark, answer, expected):
     assert _value(spark, answers.parse_answers(_text(answer))) == expected
 
 
-@pytest.mark.parametrize(
-    "reason, expected",
-    [
-        ("BLOCKED (spyware: pixel.test)", "spyware"),
-        ("Blocked (spyware: pixel.test)", "spyware"),
-        ("  BLOCKED (spyware: x)\n", "spyware"),
-        ("BLOCKED CNAME (miners: *.coin.test)", "miners"),
-        ("BLOCKED (kids: one.test, work: two.test)", "kids"),
-        ("BLOCKED (kids: /^a: b, c/)", "kids"),
-        ("BLOCKED", None),
-        ("BLOCKED (ALLOWLIST ONLY)", None),
-        ("BLOCKED (: x)", None),
-        ("BLOCKED (ads: x) more", None),
-        ("RESOLVED (ads: x)", None),
-        (None, None),
-    ],
-)
-def test_blocking_group(spark, reason, expected):
-    assert _value(spark, answers.blocking_group(_text(reason))) == expected
+# A reason names its list if all of these hold: it begins with the word, has one bracket
+# after it that runs to its end, and a colon and a space after some text in the bracket.
+_OPENERS = {"BLOCKED (": True, "bLoCkEd (": True, "BLOCKED by rule (": True, "BLOCKED(": False, "NOT BLOCKED (": False, "BLOCKED [": False}
+_INNER = {"tv-adverts: host.test": "tv-adverts", "two words: a: b": "two words", "x:y: z": "x:y", "no separator": None, "glued:host": None, "": None, ": host": None}
+_ENDS = {")": True, ") \t": True, ")\n": True, "": False, ") and more": False, ")]": False}
+
+
+def _reasons():
+    for opener, opens in _OPENERS.items():
+        for inner, group in _INNER.items():
+            for end, ends in _ENDS.items():
+                yield f" {opener}{inner}{end}", group if opens and ends else None
+
+
+def test_blocking_group(spark):
+    cases = [*_reasons(), (None, None), ("", None), ("BLOCKED", None)]
+    frame = spark.createDataFrame([(reason,) for reason, _ in cases], "reason string")
+    found = frame.select(answers.blocking_group(F.col("reason")).alias("group")).collect()
+    assert [r["group"] for r in found] == [group for _, group in cases]
 
 
 @pytest.mark.parametrize(
