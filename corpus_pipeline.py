@@ -21,19 +21,23 @@ from querylog.llm.toxicity import not_toxic
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn towards trusted text. Empty ones weigh nothing and may stay;
+    equal rows share their fate; no documents give none."""
     return resampled_only(docs, table(spark, sf_dir, "labels"))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents not predicted toxic; all, if labels of one class alone are left."""
     return not_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Word shingles of five, at a similarity of 0.8."""
+    """Word shingles of five, at a similarity of 0.8; documents without words all stay."""
     return deduplicated(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of a benchmark; empty ones have none."""
     return decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
