@@ -19,7 +19,7 @@ def dealt_in_blocks(entries: DataFrame, size: int) -> DataFrame:
     that their own is in, and the members of the large component only to those with a
     block of others. Groups stay bounded however large a bucket is, and what settled
     members cost does not grow by the square of their number. Adds ``block``, ``bi`` and
-    ``bj``, and lays the rows of a group next to each other.
+    ``bj``; :func:`regrouped` lays the rows of a group next to each other.
     """
     by_label = entries.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     counts = by_label.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most"))
@@ -34,7 +34,7 @@ def dealt_in_blocks(entries: DataFrame, size: int) -> DataFrame:
     dealt = F.xxhash64("class", F.lit(5))
     block = F.when(settled, F.pmod(dealt, F.greatest("first", F.lit(1)))).otherwise(F.col("first") + F.pmod(dealt, "open")).cast("int")
     lowest = F.when(settled, F.col("first")).otherwise(0)
-    return regrouped(
+    return (
         entries.join(counts, "bucket").withColumn("block", block)
         .withColumn("other", F.explode(F.sequence(lowest, F.col("first") + F.col("open") - 1)))
         .withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))

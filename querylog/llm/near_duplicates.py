@@ -11,11 +11,13 @@ Jaccard similarity with Chernoff-like tails.
 Bands of ``rows`` coordinates are joined into buckets. Pairs are not spelled out
 inside a bucket: first, in rounds, every class meets one leader of its buckets, and
 confirmed links merge components. Then only buckets that hold more than one component
-are left. Their members are compared across components, inside tasks, in blocks of
-bounded size, each pair in the first band that it shares: first by sketch, then, for
-what can still be a link, on full sets. Members of a bucket's largest component do not
-meet each other there. A block gives out no more links than connect its members. Every
-link is confirmed on full sets, made again from whole texts.
+are left. Buckets of more members than a block that share members are put together, so
+that classes which share many of them meet once. Members are compared across components,
+inside tasks, in blocks of bounded size, each pair of small buckets in the first band
+that it shares: first by sketch, then, for what can still be a link, on full sets.
+Members of a group's largest component do not meet each other there. A block gives out
+no more links than connect its members. Every link is confirmed on full sets, made
+again from whole texts.
 
 Classes by the thousand that are all about as similar as the threshold, without being
 linked, take comparisons by their number times that of the bucket; nothing else does.
@@ -168,11 +170,12 @@ def _plausible(how: Sketching):
     def body(group: pa.Table) -> pa.RecordBatch | None:
         if group.num_rows < 2:
             return None
-        bands = group.column("bands").combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1)
         size = group.column("n_shingles").to_numpy()
         pairs = compared(group)
         pairs &= np.minimum.outer(size, size) * 100 >= np.maximum.outer(size, size) * how.percent
-        pairs = first_met(bands, group.column("bucket")[0].as_py(), pairs)
+        if not group.column("joint")[0].as_py():
+            bands = group.column("bands").combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1)
+            pairs = first_met(bands, group.column("bucket")[0].as_py(), pairs)
         if not pairs.any():
             return None
         brief, found = _grid(group.column("brief")), set()
@@ -250,9 +253,22 @@ class _Linker:
             near = near.join(self.texts.select(F.col("class").alias(name), F.col("text").alias(f"text_{name}")), name)
         self.merge(near.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed(self.how), "a binary, b binary"))
 
+    def large_put_together(self, entries: DataFrame) -> DataFrame:
+        """Buckets of more members than a block that have members in common, as one."""
+        large = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("hub"))
+        large = staged(large.filter(F.col("n") > self.how.block).select("bucket", "hub"))
+        small = entries.join(large, "bucket", "left_anti").select("bucket", "class", "label", F.lit(False).alias("joint"))
+        members = staged(entries.join(large, "bucket").select("class", "label", "hub").distinct())
+        groups = component_labels(members.select(F.col("class").alias("a"), F.col("hub").alias("b")))
+        groups = groups.select(F.col("node").alias("class"), F.col("label").alias("group"))
+        members = members.select("class", "label").distinct().join(groups, "class", "left")
+        bucket = F.xxhash64(F.coalesce("group", "class"))
+        return small.unionByName(members.select(bucket.alias("bucket"), "class", "label", F.lit(True).alias("joint")))
+
     def meet_in_blocks(self, entries: DataFrame) -> None:
         """Test all that remains between components."""
-        dealt = dealt_in_blocks(entries.join(self.classes.drop("row_key", "least_id"), "class"), self.how.block)
+        dealt = dealt_in_blocks(self.large_put_together(entries), self.how.block)
+        dealt = regrouped(dealt.join(self.classes.drop("row_key", "least_id"), "class"))
         schema = "bucket long, bi int, bj int, block int, class binary, label binary"
         near = staged(dealt.mapInArrow(_plausible(self.how), schema))
         links = regrouped(near.join(self.texts, "class")).mapInArrow(_linked(self.how), "a binary, b binary")
