@@ -64,7 +64,7 @@ class _Texts:
     """Some texts as codes into their distinct words, with gaps between texts."""
 
     def __init__(self, texts: list[bytes | None], how: Network):
-        gap, self.starts, self.languages, words = max(how.spans), [], [], []
+        gap, self.starts, self.ends, self.languages, words = max(how.spans), [], [], [], []
         pad = [b""] * gap
         stop = {w.encode(): {k for k, ws in enumerate(STOP_WORDS[x] for x in _LANGUAGES) if w in ws} for ws in STOP_WORDS.values() for w in ws}
         for text in texts:
@@ -77,6 +77,7 @@ class _Texts:
             self.languages.append(int(counts.argmax()))
             self.starts.append(len(words))
             words += own
+            self.ends.append(len(words) + 1)  # the last window lies in the gap, clear of the next text
             words += pad
         words += pad
         distinct = dict.fromkeys([b"", *words])
@@ -84,7 +85,7 @@ class _Texts:
         self.codes = np.fromiter(map(index.__getitem__, words), np.int32, len(words))
         self.features = _features(list(distinct), how.buckets)
         self.features[0] = 0
-        self.starts = np.array(self.starts, np.int64)
+        self.starts, self.ends = np.array(self.starts, np.int64), np.array(self.ends, np.int64)
 
 
 class Classifier:
@@ -109,11 +110,9 @@ class Classifier:
         for span, kernel in zip(self.how.spans, self.filters, strict=True):
             n = total - span + 1
             answers = sum((words @ kernel[j])[texts.codes[j : j + n]] for j in range(span))
-            best = np.maximum.reduceat(answers, texts.starts)
-            values.append(best)
+            values.append(np.maximum.reduceat(answers, np.stack([texts.starts, texts.ends], axis=1).ravel())[::2])
             if places:
-                ends = [*texts.starts[1:], n]
-                where.append(np.stack([answers[a:b].argmax(axis=0) + a for a, b in zip(texts.starts, ends, strict=True)]))
+                where.append(np.stack([answers[a:b].argmax(axis=0) + a for a, b in zip(texts.starts, texts.ends, strict=True)]))
         return np.maximum(np.concatenate(values, axis=1), 0), where
 
     def raw(self, texts: _Texts) -> np.ndarray:
@@ -213,7 +212,8 @@ def held_out(doc_id):
 def trained(docs: DataFrame, labels: DataFrame, how: Network | None = None) -> Classifier | None:
     """A classifier fitted on a bounded sample of the labelled rows not held out.
 
-    None if the rows do not hold both classes. A row labelled both ways is left out.
+    None if the rows do not hold both classes. A row labelled both ways is left out; of
+    several texts with one doc_id the first in order counts.
     """
     how = how or Network()
     ways = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(
@@ -225,7 +225,7 @@ def trained(docs: DataFrame, labels: DataFrame, how: Network | None = None) -> C
         part = ways.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         some = part if some is None else some.unionByName(part)
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
-    rows = rows.dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").toArrow()
     toxic = rows.column("toxic").to_numpy().astype(np.int64)
     if not 0 < toxic.sum() < len(toxic):
         return None
