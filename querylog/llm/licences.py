@@ -147,28 +147,23 @@ def _places(text: Column, rule: Column) -> Column:
 
 
 def _unsuppressed(detections: Column) -> Column:
-    """Labels that remain, and how many detections, from intervals sorted by start and length."""
-
-    def onward(state: Column, one: Column) -> Column:
-        last = state["last"]
-        inside = one["back"] >= last["back"]  # -stop, so: ends no later
-        weaker = (one["start"] < -last["back"]) & (one["low"] >= last["low"])
-        stronger = (one["start"] < -last["back"]) & (one["low"] < last["low"])
-        done = F.concat(state["done"], F.array(last["label"]))
-        return (
-            F.when(last.isNotNull() & (inside | weaker), state)
-            .when(last.isNull() | stronger, F.struct(state["done"].alias("done"), one.alias("last")))
-            .otherwise(F.struct(done.alias("done"), one.alias("last")))
-        )
+    """Labels of the detections that remain.
 
-    zero = F.expr(
-        "named_struct('done', cast(array() as array<string>), "
-        "'last', cast(null as struct<start:int,back:int,low:int,label:string>))"
-    )
-    return F.aggregate(
-        detections, zero, onward,
-        lambda s: F.when(s["last"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["last"]["label"]))),
-    )
+    The strongest stand first: of equal priority the longer, then the earlier one, then
+    by label. One is suppressed if it lies in, or overlaps, one that stands; a suppressed
+    one suppresses nothing.
+    """
+    order = F.array_sort(F.transform(detections, lambda d: F.struct(
+        d["low"].alias("low"), (d["start"] + d["back"]).alias("shorter"), d["start"].alias("start"), (-d["back"]).alias("stop"), d["label"].alias("label")
+    )))
+
+    def onward(kept: Column, one: Column) -> Column:
+        meets = F.exists(kept, lambda k: (one["start"] < k["stop"]) & (k["start"] < one["stop"]))
+        return F.when(meets, kept).otherwise(F.concat(kept, F.array(one)))
+
+    zero = F.expr("cast(array() as array<struct<low:int,shorter:int,start:int,stop:int,label:string>>)")
+    kept = F.aggregate(order, zero, onward)
+    return F.transform(F.array_sort(F.transform(kept, lambda k: F.struct(k["start"], k["label"].alias("label")))), lambda k: k["label"])
 
 
 def _base(words: Column) -> Column:
@@ -195,7 +190,8 @@ def scanned(docs: DataFrame) -> DataFrame:
     and largest start, null without any), ``base_labels``, ``labels`` (those and the
     rules', distinct, sorted, comma-joined), ``score`` (0 without mention, towards 1
     with more) and ``detections`` (labels of all that is not suppressed). A null text
-    is an empty one. Rows are independent of each other: no shuffle.
+    is an empty one. Rows are independent of each other: repeated ones get the same, and
+    there is no shuffle.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     keys = "|".join(sorted({key for _, key, _, _ in rules()}, key=lambda k: (-len(k), k)))
@@ -208,7 +204,7 @@ def scanned(docs: DataFrame) -> DataFrame:
         def found(line: Column) -> Column:
             present = F.array_distinct(F.regexp_extract_all(line, F.lit(rf" ({keys})"), F.lit(1)))
             active = let(present, lambda p: F.filter(_rule_table(), lambda r: F.array_contains(p, r["key"])))
-            return _unsuppressed(F.sort_array(F.flatten(F.transform(active, lambda r: _places(line, r)))))
+            return _unsuppressed(F.flatten(F.transform(active, lambda r: _places(line, r))))
 
         return F.struct(_base(words).alias("base"), let(joined, found).alias("found"))
 
