@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querylog.llm.shared import staged, trusted_rows
+from querylog.llm.shared import drop_staged, staged, trusted_rows
 from querylog.llm.textkit import mixed, word_hashes
 
 _TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^\x00-\x200-9A-Za-z\x7f-\xff]+")
@@ -110,9 +110,13 @@ def kth_largest(scores: DataFrame, name: str, k: int, cells: int = 1024) -> floa
     return high if low is not None and low < high else low
 
 
-def resampled(docs: DataFrame, labels: DataFrame, least: float = LEAST, prefix: str = "") -> DataFrame:
+def resampled(docs: DataFrame, labels: DataFrame, least: float = LEAST, prefix: str = "", k: int | None = None) -> DataFrame:
     """All documents with ``log_weight``, ``draw`` (weight plus noise) and ``kept``.
 
+    The ``k`` largest draws are kept, which is a sample without replacement in proportion
+    to the weights. Without ``k`` it is the number of documents whose weight reaches
+    ``least``, so that it follows the corpus; near that weight the noise decides.
+
     Needs doc_id and text in ``docs``, doc_id and quality in ``labels``. The columns of
     ``docs`` stay; those of the three new names, with their ``prefix``, are replaced. Null and empty texts have the
     weight 0. Equal rows share noise and fate. Without trusted rows all weights are 0.
@@ -126,8 +130,10 @@ def resampled(docs: DataFrame, labels: DataFrame, least: float = LEAST, prefix:
     weighed = docs.withColumn(weight, weigh("text"))
     weighed = weighed.withColumn(draw, F.col(weight) + gumbel())
     keys = staged(weighed.select(weight, draw))
-    k = keys.filter(F.col(weight) >= least).count()
+    if k is None:
+        k = keys.filter(F.col(weight) >= least).count()
     bar = kth_largest(keys, draw, k)
+    drop_staged(keys)
     return weighed.withColumn(kept, F.lit(False) if bar is None else F.col(draw) >= F.lit(bar))
 
 
