@@ -84,7 +84,9 @@ class DigestArray:
         digests = np.fromiter(map(xxhash.xxh3_64_intdigest, asked), np.uint64, len(asked))
         place = np.searchsorted(self.digests, digests)
         out = np.full(len(asked), -1, np.int64)
-        for i in np.flatnonzero(place < len(self.digests)).tolist() if len(self.digests) else ():
+        hits = np.flatnonzero(place < len(self.digests))
+        hits = hits[self.digests[place[hits]] == digests[hits]]
+        for i in hits.tolist():
             at = int(place[i])
             while at < len(self.digests) and self.digests[at] == digests[i]:
                 if self.key(at) == asked[i]:
