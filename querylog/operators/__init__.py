@@ -13,6 +13,7 @@ from querylog.operators.ranking import (
     top_domains,
     top_list,
 )
+from querylog.operators.rollup import Rollup, hourly_counts, rolled_names, rolled_series, write_rollup
 from querylog.operators.snapshot import (
     overview_24h,
     payload_top_lists,
@@ -24,12 +25,17 @@ from querylog.operators.timeseries import queries_over_time, with_bucket_labels
 
 __all__ = [
     "Page",
+    "Rollup",
     "count_logs",
+    "hourly_counts",
     "list_shares",
     "overview_24h",
     "page_info",
     "payload_top_lists",
     "queries_over_time",
+    "rolled_names",
+    "rolled_series",
+    "write_rollup",
     "query_logs",
     "query_types_breakdown",
     "search_clients",

@@ -15,6 +15,7 @@ from querylog.functions.predicates import (
     is_type,
     where_all,
 )
+from querylog.operators.rollup import Rollup, rolled_names
 from querylog.operators.paging import TOP_K_ROWS, Page, page_of, top_page
 from querylog.schema import UNKNOWN
 from querylog.validation import (
@@ -77,12 +78,16 @@ def _rank_page(grouped: DataFrame, limit: int, offset: int) -> DataFrame:
 
 
 def _list_rows(
-    log: DataFrame, kind: str, range: str, limit: int, offset: int, filter: str, as_of: datetime | None, at_source: bool
+    log: DataFrame, kind: str, range: str, limit: int, offset: int, filter: str, as_of: datetime | None, at_source: bool,
+    rollup: Rollup | None = None,
 ) -> DataFrame:
     check_choice("kind", kind, LIST_KINDS)
     check_page(limit, offset)
-    kept = where_all(log, [in_range(log, range, as_of), *blocked_only(filter)])
-    grouped = grouped_counts(kept, _KINDS[kind][0], at_source)
+    only = blocked_only(filter)
+    if rollup is not None:
+        grouped = rolled_names(log, rollup, kind, range, as_of, filter)
+    else:
+        grouped = grouped_counts(where_all(log, [in_range(log, range, as_of), *only]), _KINDS[kind][0], at_source)
     page = _rank_page(grouped, limit, offset)
     share = percentage(F.col("count"), F.col("total_queries"))
     both = F.broadcast(group_totals(grouped)).join(page, F.lit(True), "left")
@@ -121,16 +126,18 @@ def top_list(
     filter: str = "all",
     as_of: datetime | None = None,
     at_source: bool = False,
+    rollup: Rollup | None = None,
 ) -> Page:
     """Ranked names with columns ``name, count, blocked, percentage``, and totals.
 
     With ``filter="blocked"`` percentages are of the blocked rows. Past the end the
     totals still tell the number of groups. The page, at most a hundred rows, and its
     totals are computed when this is called; a deep page is located by passes over
-    the grouped log before. :func:`top_list_rows` is the same as one frame.
+    the grouped log before. :func:`top_list_rows` is the same as one frame. With a
+    ``rollup`` of the log its counts are added up instead of the log's rows.
     """
     spark = log.sparkSession
-    frame = _list_rows(log, kind, range, limit, offset, filter, as_of, at_source)
+    frame = _list_rows(log, kind, range, limit, offset, filter, as_of, at_source, rollup)
     rows = frame.collect()
     names = [c for c in frame.columns if c not in _TOTALS]
     items = spark.createDataFrame(
@@ -159,11 +166,19 @@ def top_clients(log: DataFrame, range: str, **options) -> Page:
 
 
 def query_types_breakdown(
-    log: DataFrame, range: str, as_of: datetime | None = None, at_source: bool = False
+    log: DataFrame, range: str, as_of: datetime | None = None, at_source: bool = False, rollup: Rollup | None = None
 ) -> DataFrame:
     """Rows and percentage per record type, most frequent first."""
-    kept = log.where(in_range(log, range, as_of))
-    types = grouped_counts(kept, "question_type", at_source).select(F.col("name").alias("type"), "count")
+    if rollup is not None:
+        counts = rolled_names(log, rollup, "types", range, as_of)
+    else:
+        kept, named = log.where(in_range(log, range, as_of)), F.coalesce("question_type", F.lit(UNKNOWN)).alias("name")
+        if at_source:  # databases take groups of the bare column
+            stored = kept.groupBy("question_type").agg(F.count("*").alias("count"))
+            counts = stored.groupBy(named).agg(F.sum("count").alias("count"))
+        else:
+            counts = kept.groupBy(named).agg(F.count("*").alias("count"))
+    types = counts.select(F.col("name").alias("type"), "count")
     total = types.agg(F.sum("count").alias("total_queries"))
     return (
         types.crossJoin(F.broadcast(total))
@@ -175,10 +190,13 @@ def query_types_breakdown(
 
 
 def _search(
-    log: DataFrame, kind: str, range: str, query: str, limit: int, as_of: datetime | None
+    log: DataFrame, kind: str, range: str, query: str, limit: int, as_of: datetime | None, rollup: Rollup | None
 ) -> DataFrame:
     check_search(limit)
     column, name, _ = _KINDS[kind]
+    if rollup is not None:
+        found = rolled_names(log, rollup, kind, range, as_of, containing=query)
+        return top_page(found.select(F.col("name").alias(name), "count"), rank_order(name), limit, 0)
     hit = contains_text(column, query) if query.strip() else F.lit(False)
     return top_page(
         log.where(in_range(log, range, as_of) & hit)
@@ -196,9 +214,10 @@ def search_domains(
     query: str,
     limit: int = SEARCH_DEFAULT,
     as_of: datetime | None = None,
+    rollup: Rollup | None = None,
 ) -> DataFrame:
     """Most frequent domains containing ``query``; a blank query finds nothing."""
-    return _search(log, "domains", range, query, limit, as_of)
+    return _search(log, "domains", range, query, limit, as_of, rollup)
 
 
 def search_clients(
@@ -207,9 +226,10 @@ def search_clients(
     query: str,
     limit: int = SEARCH_DEFAULT,
     as_of: datetime | None = None,
+    rollup: Rollup | None = None,
 ) -> DataFrame:
     """Most frequent clients containing ``query``; a blank query finds nothing."""
-    return _search(log, "clients", range, query, limit, as_of)
+    return _search(log, "clients", range, query, limit, as_of, rollup)
 
 
 # Suggestions shown before and while typing.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querylog.functions.predicates import before, is_type, log_predicates, since, where_all
@@ -43,13 +43,10 @@ def queries_over_time(
     check_choice("mode", mode, MODES)
     now = as_utc(as_of)
     start = now - span.span
-    width = span.interval // _MICROSECOND
     if mode == "aligned":
-        origin = micros(start) // width * width
-        buckets = (micros(now) - origin) // width + 1
+        origin, width, buckets = aligned_buckets(range, now)
     else:
-        origin = micros(start)
-        buckets = span.buckets
+        origin, width, buckets = micros(start), span.interval // _MICROSECOND, span.buckets
     end = EPOCH + (origin + buckets * width) * _MICROSECOND
 
     # Both bounds are on the bare column, and they bound the groups as well: at
@@ -64,7 +61,20 @@ def queries_over_time(
             F.count_if(is_type("CACHED")).alias("cached"),
         )
     )
-    spine = log.sparkSession.range(0, buckets, 1, 1).withColumnRenamed("id", "slot")
+    return on_spine(log.sparkSession, counts, origin, width, buckets)
+
+
+def aligned_buckets(range: str, now: datetime) -> tuple[int, int, int]:
+    """First moment and width in microseconds, and number, of clock-aligned buckets."""
+    span = check_range(range)
+    width = span.interval // _MICROSECOND
+    origin = micros(now - span.span) // width * width
+    return origin, width, (micros(now) - origin) // width + 1
+
+
+def on_spine(spark: SparkSession, counts: DataFrame, origin: int, width: int, buckets: int) -> DataFrame:
+    """Counts per slot as a series with every bucket; ``counts`` has one row per slot."""
+    spine = spark.range(0, buckets, 1, 1).withColumnRenamed("id", "slot")
     return (
         spine.join(F.broadcast(counts), "slot", "left")
         .select(

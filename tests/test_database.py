@@ -214,7 +214,7 @@ def test_databases_can_count_at_the_source(spark, seed_log, url, quote):
     log = seed_log.select("*")
     frames = {
         "domains": ranking.grouped_counts(log, "question_name", at_source=True),
-        "types": ranking.grouped_counts(log, "question_type", at_source=True),
+        "types": ranking.query_types_breakdown(log, "30d", AS_OF, at_source=True),
         "stats": snapshot.stats_24h(log, AS_OF, at_source=True),
     }
     for name, frame in frames.items():
