@@ -257,7 +257,8 @@ def suggestions(
     kept = log.where(in_range(log, range, as_of)).select(F.explode(F.array(*named)).alias("hit"))
     counts = kept.where("hit IS NOT NULL").groupBy("hit.kind", "hit.name").agg(F.count("*").alias("count"))
     place = F.row_number().over(Window.partitionBy("kind").orderBy(*rank_order()))
-    return counts.withColumn("place", place).where(F.col("place") <= most).drop("place")
+    kept = counts.withColumn("place", place).where(F.col("place") <= most)
+    return kept.orderBy(F.desc("kind"), "place").limit(len(named) * most).drop("place")  # domains first
 
 
 def list_shares(items: DataFrame) -> DataFrame:

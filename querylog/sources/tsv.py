@@ -195,6 +195,8 @@ def read_tsv_lines(
     glob = own
     reader = spark.read.option("pathGlobFilter", glob)
     if not latest_only:
+        if has_both_layouts(spark, directory, glob):  # files beside partitions are not listed
+            return spark.read.text(f"{directory.rstrip('/')}/{glob}").select("value")
         return reader.text(directory).select("value")
     if per_client:
         date = latest_date(spark, directory, glob)
