@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from querylog.functions import answers, display, predicates
 from querylog.operators import logs, ranking, snapshot, timeseries
 from querylog.plans.fixture import FIXTURE_SQL, fixture_log
-from querylog.schema import LOG_COLUMNS
+from querylog.schema import LOG_COLUMNS, TIME_RANGES
 from querylog.sinks.tsv import tsv_lines
 from querylog.sources.jsonl import parse_jsonl_lines
 from querylog.sources.payloads import parse_payloads
-from querylog.sources.tsv import parse_tsv_lines, tsv_rejects
+from querylog.sources.tsv import parse_timestamp, parse_tsv_lines, tsv_rejects
 from querylog.streaming.counts import top_per_bucket, windowed_counts, windowed_names
 
 #: Moments the ranges look back from: inside the data, and on a day boundary.
@@ -400,6 +400,59 @@ def search_clients(spark, sf_dir):
     return ranking.search_clients(log, "30d", "#0000000", limit=50, as_of=AS_OF)
 
 
+@register("SELECT question_name AS domain, count(*) AS count FROM log WHERE false GROUP BY 1")
+def search_domains_blank(spark, sf_dir):
+    """A blank search finds nothing, whatever the log holds."""
+    return ranking.search_domains(_log(spark, sf_dir, *_DOMAIN), "30d", "  ", as_of=AS_OF)
+
+
+@register(
+    f"""SELECT kind, domain, count FROM (
+(SELECT '.' AS kind, question_name AS domain, count(*) AS count FROM log
+WHERE request_ts >= {_start('30d')} AND strpos(lower(question_name), 'e.e') > 0 GROUP BY 2
+ORDER BY 3 DESC, lower(question_name), question_name LIMIT 50)
+UNION ALL SELECT '%', question_name, count(*) FROM log
+WHERE request_ts >= {_start('30d')} AND strpos(question_name, '%') > 0 GROUP BY 2
+UNION ALL SELECT '_', question_name, count(*) FROM log
+WHERE request_ts >= {_start('30d')} AND strpos(question_name, '_') > 0 GROUP BY 2)"""
+)
+def search_domains_literal(spark, sf_dir):
+    """Dots, percent signs and underscores stand for themselves."""
+    log, found = _log(spark, sf_dir, *_DOMAIN), None
+    for kind, text in ((".", "e.e"), ("%", "%"), ("_", "_")):
+        hits = ranking.search_domains(log, "30d", text, limit=50, as_of=AS_OF).select(F.lit(kind).alias("kind"), "domain", "count")
+        found = hits if found is None else found.unionByName(hits)
+    return found
+
+
+@register("SELECT id, request_ts, request_ts AS from_offset, request_ts AS from_zoneless, CAST(NULL AS TIMESTAMP) AS from_time FROM log")
+def iso_instants(spark, sf_dir):
+    """Times of the log as texts with an offset, without a zone, and without a date, read back."""
+    log = _log(spark, sf_dir, "id", "request_ts")
+    text = F.date_format("request_ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    offset = F.date_format(F.col("request_ts") + F.expr("INTERVAL '5' HOUR"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+05:00'")
+    forms = {"request_ts": F.concat(text, F.lit("Z")), "from_offset": offset, "from_zoneless": text, "from_time": F.date_format("request_ts", "HH:mm:ss")}
+    return log.select("id", *(parse_timestamp(form).cast("timestamp_ntz").alias(name) for name, form in forms.items()))
+
+
+@register(
+    "SELECT * FROM (" + " UNION ALL ".join(
+        f"""SELECT '{name}' AS name, CAST({width} AS BIGINT) AS seconds, CAST({n} AS BIGINT) AS buckets,
+count(*) AS total FROM log WHERE request_ts >= {_start(name)}"""
+        for (name, width), n in zip(_WIDTHS.items(), (12, 24, 28, 30))
+    ) + ")"
+)
+def time_ranges(spark, sf_dir):
+    """The offered ranges, their buckets, and the rows that the log has in each."""
+    log, found = _log(spark, sf_dir, "request_ts"), None
+    for name, span in TIME_RANGES.items():
+        seconds = F.lit(int(span.interval.total_seconds())).cast("long").alias("seconds")
+        row = log.where(predicates.in_range(log, name, AS_OF)).agg(F.count("*").alias("total"))
+        row = row.select(F.lit(name).alias("name"), seconds, F.lit(span.buckets).cast("long").alias("buckets"), "total")
+        found = row if found is None else found.unionByName(row)
+    return found
+
+
 def _top5_sql(column: str, label: str, kind: str, having: str = "", count: str = "count(*)") -> str:
     return f"""(SELECT '{kind}' AS {label}, coalesce({column}, 'unknown') AS name, {count} AS count
 FROM log WHERE request_ts >= {_start('24h')} GROUP BY 2 {having}
