@@ -180,10 +180,11 @@ def test_importance_weights_and_draw(spark):
         if r["doc_id"] in good:
             target.update(grams[r["doc_id"]])
     n, weight = importance.BUCKETS, 60.0 * importance.BUCKETS
+    of_raw, of_target = raw.total(), target.total()
 
     def ratio(bucket):
-        share = (raw[bucket] + 1) / (raw.total() + n)
-        return np.log((target[bucket] + weight * share) / (target.total() + weight)) - np.log(share)
+        share = (raw[bucket] + 1) / (of_raw + n)
+        return np.log((target[bucket] + weight * share) / (of_target + weight)) - np.log(share)
 
     known = {b: ratio(b) for b in raw}
     for r in rows:
@@ -219,10 +220,11 @@ def test_quality_ratio_and_verdict(spark):
         raw.update(own)
         if doc_id in good:
             target.update(own)
+    of_raw, of_target = raw.total(), target.total()
 
     def ratio(bucket):
-        share = (raw[bucket] + 1) / (raw.total() + n)
-        return np.log((target[bucket] + rules.PRIOR * n * share) / (target.total() + rules.PRIOR * n)) - np.log(share)
+        share = (raw[bucket] + 1) / (of_raw + n)
+        return np.log((target[bucket] + rules.PRIOR * n * share) / (of_target + rules.PRIOR * n)) - np.log(share)
 
     known = {b: ratio(b) for b in raw}
     for r in rules.judged(docs, labels).collect():
