@@ -129,7 +129,8 @@ def resampled(docs: DataFrame, labels: DataFrame, least: float = LEAST, prefix:
     weight, draw, kept = (f"{prefix}{name}" for name in ("log_weight", "draw", "kept"))
     weighed = docs.withColumn(weight, weigh("text"))
     weighed = weighed.withColumn(draw, F.col(weight) + gumbel())
-    keys = staged(weighed.select(weight, draw))
+    # two numbers a row: in files of a fair size, not one for each piece of the texts
+    keys = staged(weighed.select(weight, draw).hint("rebalance"))
     if k is None:
         k = keys.filter(F.col(weight) >= least).count()
     bar = kth_largest(keys, draw, k)
